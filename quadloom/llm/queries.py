@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import bpe, jaccard, mixing, quality, toxicity
+from quadloom.llm import bpe, jaccard, mixing, quality, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.score(table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve(warc.records_of_pages(table(spark, sf_dir, "pages")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.fit(docs, labels))
@@ -33,5 +41,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_toxicity, op6_jaccard, op8_bpe, op10_quality)}
-ORACLE = {"op3_mixing": mixing.oracle_sql(), "op6_jaccard": jaccard.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op2_urls, op3_mixing, op4_warc, op5_toxicity, op6_jaccard, op8_bpe, op10_quality)}
+ORACLE = {"op2_urls": urls.oracle_sql(), "op4_warc": warc.oracle_sql(), "op3_mixing": mixing.oracle_sql(), "op6_jaccard": jaccard.oracle_sql()}
