@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import bpe, jaccard, mixing, quality, toxicity, urls, warc
+from quadloom.llm import bpe, ctph, jaccard, mixing, quality, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_pairs(table(spark, sf_dir, "documents"))
 
 
+def op7_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.similar(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op2_urls, op3_mixing, op4_warc, op5_toxicity, op6_jaccard, op8_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_urls, op3_mixing, op4_warc, op5_toxicity, op6_jaccard, op7_ctph, op8_bpe, op10_quality)}
 ORACLE = {"op2_urls": urls.oracle_sql(), "op4_warc": warc.oracle_sql(), "op3_mixing": mixing.oracle_sql(), "op6_jaccard": jaccard.oracle_sql()}
