@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import bpe, ctph, jaccard, mixing, quality, toxicity, urls, warc
+from quadloom.llm import bpe, ctph, jaccard, langid, mixing, quality, sharding, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.score(table(spark, sf_dir, "pages"))
 
@@ -40,10 +44,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.label(docs, langid.fit(docs))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.score(docs, quality.fit(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op2_urls, op3_mixing, op4_warc, op5_toxicity, op6_jaccard, op7_ctph, op8_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_urls, op3_mixing, op4_warc, op5_toxicity, op6_jaccard, op7_ctph, op8_bpe, op9_langid, op10_quality)}
 ORACLE = {"op2_urls": urls.oracle_sql(), "op4_warc": warc.oracle_sql(), "op3_mixing": mixing.oracle_sql(), "op6_jaccard": jaccard.oracle_sql()}
