@@ -152,15 +152,16 @@ class Model:
         total[len(s) + 1 :] = total[len(s)]
         return (total[WINDOW : WINDOW + len(s)] - total[: len(s)] + self.bias).astype(np.float32)
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        codes, to, _ = fold(data, offsets)
+    def worst(self, codes: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Decision value of each text's worst window."""
         w = self.windows(codes)
-        if len(w) == 0:
-            return np.full(len(offsets) - 1, NOTHING)
         w = np.append(w, np.full(len(codes) - len(w), NOTHING, np.float32))
         w[(to[1:, None] - 1 - np.arange(BEHIND)).ravel()] = NOTHING  # no window begins in the padding
-        out = ragged = tx.ragged_reduce(np.maximum, w, to, np.float32(NOTHING)).astype(float)
-        return np.where(np.diff(offsets) > 0, ragged, NOTHING) if len(out) else out
+        return tx.ragged_reduce(np.maximum, w, to, np.float32(NOTHING)).astype(float)
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        codes, to, _ = fold(data, offsets)
+        return np.where(np.diff(offsets) > 0, self.worst(codes, to), NOTHING)
 
 
 def _rows(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,8 +194,8 @@ def _kernel(strings: list[np.ndarray], columns: np.ndarray, z: np.ndarray) -> np
     """Kernel values of strings against landmarks whose features are the columns of ``z``."""
     z = z.astype(np.float32)
     out = np.zeros((len(strings), z.shape[1]), np.float32)
-    for at in range(0, len(strings), 500):
-        row, col, val = _dense(strings[at : at + 500], columns)
+    for at in range(0, len(strings), 100):
+        row, col, val = _dense(strings[at : at + 100], columns)
         if len(row):
             part = z[col] * val[:, None].astype(np.float32)
             begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -236,64 +237,66 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, landmarks: int =
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return None
-    raw = [t.encode() for t in texts]
-    offsets = tx.counts_to_offsets(np.array([len(r) for r in raw]))
-    codes, to, _ = fold(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    n = len(texts)
-    held = np.arange(n) % 4 == 3
-    doc = np.repeat(np.arange(n), np.diff(to))
-    # first guess of the witnesses: runs of four letters that toxic documents have and clean ones don't
-    plain = subsequences(codes)[0][0]
-    letters = np.ones(len(plain), bool)
-    for k in range(ORDER):
-        c = plain >> (5 * k) & 31
-        letters &= (c > 0) & (c < 28)
-    pair = np.unique(doc[: len(plain)][letters].astype(np.int64) << 20 | plain[letters])
-    pair = pair[~held[pair >> 20]]
-    of_toxic = toxic[pair >> 20]
-    size = 1 << 20
-    tox = np.bincount(pair[of_toxic] & (size - 1), minlength=size).astype(float)
-    clean = np.bincount(pair[~of_toxic] & (size - 1), minlength=size).astype(float)
-    n_tox, n_clean = (toxic & ~held).sum(), (~toxic & ~held).sum()
-    odds = np.log((tox + 0.5) / (n_tox + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-    odds[(tox < max(3, 0.003 * n_tox)) | (odds < 1.5)] = 0
-    model = Model((odds).astype(np.float32), 0.0, 0.5)
-    training = np.flatnonzero(~held)
+    held = np.arange(len(texts)) % 4 == 3
+    # a few hundred documents at a time, so that the driver never holds arrays of the length of the whole sample
+    chunks = []
+    for some in np.array_split(np.arange(len(texts)), len(texts) // 200 + 1):
+        raw = [texts[i].encode("utf-8", "replace") for i in some]
+        codes, to, _ = fold(np.frombuffer(b"".join(raw), np.uint8), tx.counts_to_offsets(np.array([len(r) for r in raw])))
+        chunks.append((some, codes, to))
+    model = Model(_first_guess(chunks, toxic, held), 0.0, 0.5)
     negatives: set[bytes] = set()
     for _ in range(rounds):
-        value = model.windows(codes)
-        positives, hard = [], []
-        for d in training:
-            a, b = to[d], to[d + 1] - BEHIND
-            if b <= a:
-                continue
-            v = value[a:b]
-            if toxic[d]:
-                v = v.copy()
-                for k in range(PEAKS):  # its windows above the margin, without overlap; the best at any rate
+        pos: list[np.ndarray] = []
+        for some, codes, to in chunks:
+            value = model.windows(codes)
+            for k, d in enumerate(some):
+                a, b = to[k], to[k + 1] - BEHIND
+                if held[d] or b <= a:
+                    continue
+                v, at = value[a:b].copy(), []
+                for peak in range(PEAKS if toxic[d] else 2):  # without overlap; of a toxic document the best and those above the margin
                     best = int(v.argmax())
-                    if v[best] <= (0 if k == 0 else 0.3):
+                    if toxic[d] and v[best] <= (0.3 if peak else 0):
                         break
-                    positives.append(a + best)
-                    v[max(0, best - WINDOW) : best + WINDOW + SPAN] = NOTHING
-            else:
-                v = v.copy()
-                for _ in range(2):
-                    hard.append(a + int(v.argmax()))
-                    v[max(0, hard[-1] - a - WINDOW) : hard[-1] - a + WINDOW] = NOTHING
-                hard.append(a + (int(d) * 7919) % len(v))
-        if not positives:
+                    at.append(a + best)
+                    v[max(0, best - WINDOW) : best + WINDOW + (SPAN if toxic[d] else 0)] = NOTHING
+                if toxic[d]:
+                    pos += _strings(codes, at)
+                else:
+                    negatives |= {x.tobytes() for x in _strings(codes, [*at, a + (int(d) * 7919) % len(v)])}
+        if not pos:
             return None
-        negatives |= {s.tobytes() for s in _strings(codes, np.array(hard))}
-        pos = _strings(codes, np.array(positives))
         pos += _gapped(pos)
-        neg = [np.frombuffer(s, np.uint8) for s in sorted(negatives)]
-        model = _fit(pos, neg, landmarks, cost)
-    calibrate = model.score(np.frombuffer(b"".join(r for r, h in zip(raw, held) if h), np.uint8), tx.counts_to_offsets(np.array([len(r) for r, h in zip(raw, held) if h])))
-    model.threshold = _threshold(calibrate, toxic[held])
+        model = _fit(pos, [np.frombuffer(x, np.uint8) for x in sorted(negatives)], landmarks, cost)
+    value = np.concatenate([model.worst(codes, to) for _, codes, to in chunks])
+    model.threshold = _threshold(value[held], toxic[held])
     return model
 
 
+def _first_guess(chunks, toxic: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Weights of runs of four letters by how much more often toxic documents have them."""
+    size = 1 << (5 * ORDER)
+    tox, clean = np.zeros(size), np.zeros(size)
+    for some, codes, to in chunks:
+        wide = codes.astype(np.int32)
+        n = max(0, len(wide) - ORDER + 1)
+        plain, letters = np.zeros(n, np.int64), np.ones(n, bool)
+        for k in range(ORDER):
+            plain = plain << 5 | wide[k : k + n]
+            letters &= (wide[k : k + n] > 0) & (wide[k : k + n] < 28)
+        doc = np.repeat(some, np.diff(to))[:n]
+        letters &= ~held[doc]
+        pair = np.unique(doc[letters] << 20 | plain[letters])
+        of_toxic = toxic[pair >> 20]
+        tox += np.bincount(pair[of_toxic] & (size - 1), minlength=size)
+        clean += np.bincount(pair[~of_toxic] & (size - 1), minlength=size)
+    n_tox, n_clean = (toxic & ~held).sum(), (~toxic & ~held).sum()
+    odds = np.log((tox + 0.5) / (n_tox + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    odds[(tox < max(3, 0.003 * n_tox)) | (odds < 1.5)] = 0
+    return odds.astype(np.float32)
+
+
 def _fit(pos: list[np.ndarray], neg: list[np.ndarray], landmarks: int, cost: float) -> Model:
     # landmarks: witnesses that share least with those already taken, two of three, and the hardest negatives
     row, col, val = _rows(pos)
@@ -321,7 +324,7 @@ def _fit(pos: list[np.ndarray], neg: list[np.ndarray], landmarks: int, cost: flo
     values, vectors = np.linalg.eigh(k)
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    x = np.vstack([_kernel(pos, columns, z), _kernel(neg, columns, z)]) @ whiten
+    x = np.vstack([_kernel(pos, columns, z), _kernel(neg, columns, z)]) @ whiten.astype(np.float32)
     w = _svm(x, np.concatenate([np.ones(len(pos)), -np.ones(len(neg))]), cost)
     beta = np.zeros(1 << (5 * ORDER), np.float32)
     beta[columns] = z @ (whiten @ w[:-1])
