@@ -1 +1 @@
-"""Analytics over labelled quads, expressed as Spark DataFrames."""
+"""Quad analytics on Spark: labelled RDF-style statements as DataFrames."""
