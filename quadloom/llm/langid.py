@@ -8,9 +8,9 @@ quadruples, and the whole word as lexicon entry, hashed into one table of
 weights with a column for each language.
 
 Weights are trained on the driver by stochastic gradient ascent of the
-conditional likelihood, on a bounded sample of documents with a known language
-and on sentences put together from documents of different languages, which
-teach the transitions. Decoding gives each word its most probable language by
+conditional likelihood, on a bounded sample of passages of documents with a
+known language and on sentences put together from passages of different
+languages, which teach the transitions. Decoding gives each word its most probable language by
 forward-backward.
 
 A slice of texts is one array of words. Emissions are sums of table rows over
@@ -28,6 +28,7 @@ Without any document of known language no language can be told: spans are empty.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ from quadloom.llm import textnp as tx
 from quadloom.llm.common import map_text, stable_hash
 
 BITS, CHUNK = 17, 32
-#: Labelled documents of each language that training reads at most, and the words of each that it uses.
+#: Labelled passages of each language that training reads at most, and the words of a passage.
+#: Passages are drawn from whole documents, wherever they stand in them.
 SAMPLE_PER_LANGUAGE, SAMPLE_WORDS = 400, 400
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[65:91] = True
@@ -123,10 +125,17 @@ def emissions(w: Words, table: np.ndarray) -> np.ndarray:
 
 def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, by: np.ndarray) -> np.ndarray:
     """Probability of each language at each word, given its whole text."""
+    alpha, beta, _, _ = messages(emission, transition, start, by)
+    p = alpha * beta
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def messages(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward messages (own emission included), backward messages (without it), each scaled by word, and the potentials of words and moves."""
     n, k = emission.shape
     count = np.diff(by)
     if n == 0:
-        return np.zeros((0, k))
+        return np.zeros((0, k)), np.zeros((0, k)), np.zeros((0, k)), np.exp(transition)
     psi = np.exp(emission.astype(np.float64))
     move = np.exp(transition.astype(np.float64))
     chunks = -(-count // CHUNK)
@@ -171,8 +180,7 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.nda
         beta[begin[some] + size[some] - 1 - t] = b[some]
         m = (psi[begin[some] + size[some] - 1 - t] * b[some]) @ move.T
         b[some] = m / m.max(axis=1, keepdims=True)
-    p = alpha * beta
-    return p / p.sum(axis=1, keepdims=True)
+    return alpha, beta, psi, move
 
 
 @dataclass
@@ -190,13 +198,13 @@ class Model:
         return best, p[np.arange(len(best)), best] if len(p) else np.zeros(0), w.by
 
 
-def train(texts: list[str], languages: list[str], epochs: int = 4, rate: float = 0.5, words: int = SAMPLE_WORDS) -> Model | None:
+def train(texts: list[str], languages: list[str], epochs: int = 4, rate: float = 0.5) -> Model | None:
     """Stochastic gradient ascent (AdaGrad) over batches of sequences, half of them mixed of several texts."""
     names = sorted(set(languages))
     if not names:
         return None
     k = len(names)
-    raw = [" ".join(t.split()[:words]).encode() for t in texts]
+    raw = [t.encode("utf-8", "replace") for t in texts]
     offsets = tx.counts_to_offsets(np.array([len(r) for r in raw]))
     w = words_of(np.frombuffer(b"".join(raw), np.uint8), offsets)
     flat, to = features(w)
@@ -226,7 +234,9 @@ def train(texts: list[str], languages: list[str], epochs: int = 4, rate: float =
             column, owner = flat[tx.ragged_index(to[word], size)], np.repeat(np.arange(len(word)), size)
             e = np.add.reduceat(table[column], tx.counts_to_offsets(size)[:-1], axis=0)
             e -= e.max(axis=1, keepdims=True)
-            p = forward_backward(e, transition, start, by)
+            alpha, beta, psi, move = messages(e, transition, start, by)
+            p = alpha * beta
+            p /= p.sum(axis=1, keepdims=True)
             y = truth[word]
             g = -p
             g[np.arange(len(word)), y] += 1
@@ -238,8 +248,8 @@ def train(texts: list[str], languages: list[str], epochs: int = 4, rate: float =
             pair = np.ones(len(word) - 1, bool)
             pair[by[1:-1] - 1] = False
             pair = np.flatnonzero(pair)
-            # expected transitions by the product of neighbours' posteriors and the move, normalised
-            joint = p[pair][:, :, None] * p[pair + 1][:, None, :] * np.exp(transition)
+            # probability of each move between neighbours, given the whole text
+            joint = alpha[pair][:, :, None] * move * (psi[pair + 1] * beta[pair + 1])[:, None, :]
             joint /= joint.sum(axis=(1, 2), keepdims=True)
             got = np.zeros((k, k))
             np.add.at(got, (y[pair], y[pair + 1]), 1)
@@ -251,11 +261,11 @@ def train(texts: list[str], languages: list[str], epochs: int = 4, rate: float =
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from at most ``per_language`` documents of each known language, chosen by a hash of the id.
+    """A model from at most ``per_language`` passages of each known language, chosen by a hash of id and place.
 
     Two scans: one of the language column alone for the counts, one that lets
-    through about one and a half times as many documents as are wanted; the
-    surplus is cut on the driver.
+    through about one and a half times as many documents as passages are wanted.
+    Those are cut into passages, all their words, and of these a hash takes the sample.
     """
     known = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"), F.pmod(stable_hash(id_col), F.lit(1 << 40)).alias("_h"))
     known = known.where("_lang is not null and _lang <> ''")
@@ -263,9 +273,12 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str =
     if not counts:
         return None
     limit = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, int(min(1.0, (1.5 * per_language + 20) / n) * (1 << 40)))])
-    head = F.array_join(F.slice(F.split("_text", r"\s+", SAMPLE_WORDS + 1), 1, SAMPLE_WORDS), " ")
-    rows = known.where(F.col("_h") < limit[F.col("_lang")]).where("_text is not null and _text <> ''").select("_lang", "_h", head.alias("_text")).toPandas()
-    rows = rows.sort_values(["_lang", "_h", "_text"]).groupby("_lang").head(per_language)
+    some = known.where(F.col("_h") < limit[F.col("_lang")]).where("_text is not null and _text <> ''").withColumn("_words", F.split("_text", r"\s+"))
+    places = F.sequence(F.lit(1), F.size("_words"), F.lit(SAMPLE_WORDS))
+    cut = some.select("_lang", "_h", "_words", F.explode(places).alias("_at"))
+    cut = cut.select("_lang", F.xxhash64("_h", "_at").alias("_k"), F.array_join(F.slice("_words", F.col("_at"), F.lit(SAMPLE_WORDS)), " ").alias("_text"))
+    parts = [cut.where(F.col("_lang") == name).orderBy("_k", "_text").limit(per_language) for name in sorted(counts)]
+    rows = reduce(DataFrame.unionByName, parts).toPandas().sort_values(["_lang", "_k", "_text"])
     return train(rows["_text"].tolist(), rows["_lang"].tolist())
 
 
