@@ -82,11 +82,26 @@ def map_text(df: DataFrame, text: str, fn: Callable, schema: T.StructType | str,
 def filter_text(df: DataFrame, text: str, keep: Callable, limit: int = SLICE) -> DataFrame:
     """Rows for which ``keep(bytes, offsets)`` is true, with all columns as they are (none is added, so none can clash)."""
 
+    names = df.columns
+
     def run(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
         mask = keep(data, offsets)
-        return rows if mask.all() else rows.filter(pa.array(mask))
+        return (rows if mask.all() else rows.filter(pa.array(mask))).rename_columns(names)
+
+    return map_text(numbered(df), f"c{names.index(text)}", run, df.schema, limit)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns called c0, c1, ...: names with dots in them can't be given to Arrow functions."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
 
-    return map_text(df, text, run, df.schema, limit)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have; Spark takes upper and lower case for the same."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def stable_hash(c: Column | str) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm import textnp as tx
-from quadloom.llm.common import Scratch, map_text
+from quadloom.llm.common import Scratch, map_text, unused
 
 WORDS, HASHES, ROWS, THRESHOLD = 5, 80, 4, 0.7
 STEP, TOLERANCE, BLOCK = 8, 0.01, 1024
@@ -283,15 +283,16 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     Of rows that repeat an id one stays.
     """
     join = Join(docs, threshold, id_col, text_col)
-    gone = join.scratch.table(join.removed().select(F.col("_id").alias("_gone")))
-    ids = docs.select(F.col(id_col).alias("_twice")).where("_twice is not null").groupBy("_twice").count().where("count > 1").select("_twice")
+    gone_id, twice_id = unused(docs, "_gone"), unused(docs, "_twice")
+    gone = join.scratch.table(join.removed().select(F.col("_id").alias(gone_id)))
+    ids = docs.select(F.col(id_col).alias(twice_id)).where(F.col(twice_id).isNotNull()).groupBy(twice_id).agg(F.count("*").alias("_n")).where("_n > 1").select(twice_id)
     twice = join.scratch.table(ids)
     small = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    kept = docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone[gone_id], "left_anti")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, kept[id_col] == F.col("_twice"), "left_anti")
-    again = kept.join(twice, kept[id_col] == F.col("_twice"), "left_semi").dropDuplicates([id_col])
+    once = kept.join(twice, kept[id_col] == twice[twice_id], "left_anti")
+    again = kept.join(twice, kept[id_col] == twice[twice_id], "left_semi").dropDuplicates([id_col])
     return once.unionByName(again)
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadloom.llm.common import numbered
+
 STRICT = ("spam-farm", "adult-x", "xxx", "porn", "casino", "escort", "warez", "viagra")
 SOFT = {"free": 0.5, "bets": 1.0, "bet": 1.0, "adult": 1.0, "poker": 1.0, "slots": 1.0, "spam": 1.0, "farm": 0.5, "download": 0.5, "crack": 1.0, "pills": 1.0, "loan": 0.5, "dating": 0.5, "winner": 0.5}
 MIN_SOFT = 2
@@ -85,13 +87,14 @@ def score(pages: DataFrame, strict=STRICT, soft=SOFT, min_soft: int = MIN_SOFT,
 
 def keep(pages: DataFrame, strict=STRICT, soft=SOFT, min_soft: int = MIN_SOFT, url_col: str = "url") -> DataFrame:
     """The rows that aren't rejected, with all their columns."""
-    judge, at = _judge(tuple(strict), dict(soft), min_soft), pages.columns.index(url_col)
+    judge, names = _judge(tuple(strict), dict(soft), min_soft), pages.columns
+    at = names.index(url_col)
 
     def run(batches):
         for rows in batches:
-            yield rows.filter(pa.array(~judge(rows.column(at).to_pylist())[3]))
+            yield rows.filter(pa.array(~judge(rows.column(at).to_pylist())[3])).rename_columns(names)
 
-    return pages.mapInArrow(run, pages.schema)
+    return numbered(pages).mapInArrow(run, pages.schema)
 
 
 def oracle_sql() -> str:
