@@ -463,7 +463,7 @@ def owl_transitive(spark, sf_dir):
 
 # secondary indexes
 
-_TOKENS = "list_distinct(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9*_]+'), x -> x <> ''))"
+_TOKENS = "list_distinct(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9*_]+'), lambda x: x <> ''))"
 
 
 def _text_query(words: str):
@@ -476,15 +476,15 @@ def _text_query(words: str):
 for _name, _words, _cond in (
     ("text_and", "the and", "list_contains(t, 'the') AND list_contains(t, 'and')"),
     ("text_not", "the !and", "list_contains(t, 'the') AND NOT list_contains(t, 'and')"),
-    ("text_prefix", "con*", "len(list_filter(t, x -> starts_with(x, 'con'))) > 0"),
-    ("text_suffix", "*ing !the", "len(list_filter(t, x -> ends_with(x, 'ing'))) > 0 AND NOT list_contains(t, 'the')"),
-    ("text_contains", "*an* *er", "len(list_filter(t, x -> contains(x, 'an'))) > 0 AND len(list_filter(t, x -> ends_with(x, 'er'))) > 0"),
+    ("text_prefix", "con*", "len(list_filter(t, lambda x: starts_with(x, 'con'))) > 0"),
+    ("text_suffix", "*ing !the", "len(list_filter(t, lambda x: ends_with(x, 'ing'))) > 0 AND NOT list_contains(t, 'the')"),
+    ("text_contains", "*an* *er", "len(list_filter(t, lambda x: contains(x, 'an'))) > 0 AND len(list_filter(t, lambda x: ends_with(x, 'er'))) > 0"),
 ):
     QUERIES[_name] = _text_query(_words)
     ORACLE[_name] = f"SELECT 'urn:doc:' || doc_id AS s FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE {_cond}"
 
 
-@query(f"SELECT 'urn:doc:' || doc_id AS s FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE list_contains(t, 'the') AND len(list_filter(t, x -> starts_with(x, 're'))) > 0 AND NOT list_contains(t, 'of')")
+@query(f"SELECT 'urn:doc:' || doc_id AS s FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE list_contains(t, 'the') AND len(list_filter(t, lambda x: starts_with(x, 're'))) > 0 AND NOT list_contains(t, 'of')")
 def text_postings_lookup(spark, sf_dir):
     return text.lookup(text.postings(store(spark, sf_dir).select(P + "text")), "the re* !of").select("s")
 
@@ -601,7 +601,7 @@ def datetime_normalise(spark, sf_dir):
     return o.select("o_orderkey", times.normalise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".0004567+05:30"))).alias("t"))
 
 
-@query("SELECT v AS value, s AS shard FROM (VALUES ('abc', '19700101_4'), ('', '19700101_0'), ('urn:customer:1', '19700101_' || 44), ('Zürich', '19700101_' || 11)) t(v, s)")
+@query("SELECT v AS value, s AS shard FROM (VALUES ('abc', '19700101_4'), ('', '19700101_0'), ('urn:customer:1', '19700101_44'), ('Zürich', '19700101_12')) t(v, s)")
 def shard_value(spark, sf_dir):
     df = spark.createDataFrame([("abc",), ("",), ("urn:customer:1",), ("Zürich",)], "value string")
     return df.select("value", values.shard(F.lit(0).cast("bigint"), F.col("value")).alias("shard"))
