@@ -34,9 +34,9 @@ def findings(files: DataFrame, cap: int | None = 80) -> DataFrame:
     rules: list[tuple[str, Column]] = [
         ("SPARQLInjectionCandidate", any_of(t, ["sparql", "select "]) & any_of(t, ["where", "query"])),
         ("DynamicQueryConstruction", any_of(t, ["select ", "where "]) & any_of(raw, ["format!(", " + ", "${"])),
-        ("SecretExposureCandidate", any_of(t, ["password", "secret", "api_key", "apikey", "token"]) & any_of(t, ["=", ":", "const", "let", "var"])),
-        ("CommandExecutionSurface", any_of(t, ["command::new", "std::process", "system(", "exec(", "popen("])),
-        ("NetworkRequestSurface", any_of(t, ["reqwest", "fetch(", "http.get", "requests.get", "urlopen"])),
+        ("SecretExposureCandidate", any_of(t, ["token", "apikey", "api_key", "secret", "password"]) & any_of(t, ["let", "var", "const", ":", "="])),
+        ("CommandExecutionSurface", any_of(t, ["popen(", "exec(", "system(", "std::process", "command::new"])),
+        ("NetworkRequestSurface", any_of(t, ["urlopen", "requests.get", "http.get", "fetch(", "reqwest"])),
         ("MemorySafetyReviewSurface", any_of(t, ["unsafe", "transmute", "from_raw"])),
     ]
     kinds = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]))
