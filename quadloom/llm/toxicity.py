@@ -39,7 +39,7 @@ from quadloom.llm.common import filter_text, labelled_sample, map_text
 
 ORDER, SPAN, DECAY, WINDOW = 4, 7, 0.7, 8
 BEHIND = WINDOW + SPAN
-LANDMARKS = 256
+LANDMARKS, COST = 256, 8.0
 #: Labelled documents of either class that training reads at most.
 SAMPLE_PER_CLASS = 1500
 NOTHING = -1e9
@@ -232,12 +232,14 @@ def _gapped(strings: list[np.ndarray]) -> list[np.ndarray]:
     return [np.concatenate([s[:i], [c], s[i:-1]]).astype(np.uint8) for s, i, c in zip(strings, where, what)]
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, landmarks: int = LANDMARKS, cost: float = 1.0) -> Model | None:
-    """A model from labelled documents; three of four train, the fourth sets the threshold."""
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, landmarks: int = LANDMARKS, cost: float = COST) -> Model | None:
+    """A model from labelled documents; three of four of either class train, the fourth sets the threshold."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return None
-    held = np.arange(len(texts)) % 4 == 3
+    held = np.zeros(len(texts), bool)
+    for some in (np.flatnonzero(toxic), np.flatnonzero(~toxic)):
+        held[some[3::4]] = True
     # a few hundred documents at a time, so that the driver never holds arrays of the length of the whole sample
     chunks = []
     for some in np.array_split(np.arange(len(texts)), len(texts) // 200 + 1):

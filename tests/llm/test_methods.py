@@ -162,7 +162,7 @@ def test_toxicity_held_out():
             toxic.append(bool(k % 2))
         return texts, np.array(toxic)
 
-    model = toxicity.train(*sample(400))
+    model = toxicity.train(*sample(1600))
     texts, toxic = sample(200)
     called = model.score(*raw(texts)) > model.threshold
     assert (called & ~toxic).sum() <= 2 and (called & toxic).sum() >= 0.9 * toxic.sum()
