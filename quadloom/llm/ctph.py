@@ -129,33 +129,56 @@ def _reduced(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[keep], tx.counts_to_offsets(keep)[offsets]
 
 
-def _runs(key: str):
+#: Stands for the beginning of a string where a run has no character before it.
+START = 64
+
+
+def _runs(threshold: int):
     def run(batches):
-        """(key, id) of every run of RUN characters of each string, with its block size in the key."""
+        """(key, id, mark) of every run of RUN characters of each string, with its block size in the key.
+
+        mark: the character before the run, and the string's length above it. A string that is too
+        short to score ``threshold`` at its block size has none.
+        """
         for rows in batches:
             ids, block = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False)
             for k, strings in ((0, rows.column(2)), (1, rows.column(3))):
                 data, to = _reduced(strings)
                 if len(data) < RUN:
                     continue
+                value = _VALUE[data].astype(np.int64)
                 code = np.zeros(len(data) - RUN + 1, np.int64)
                 for i in range(RUN):
-                    code = code << 6 | _VALUE[data[i : i + len(code)]].astype(np.int64)
-                owner = np.repeat(np.arange(len(ids)), np.diff(to))
-                inside = owner[: len(code)] == owner[RUN - 1 :]
-                owner, code = owner[: len(code)][inside], code[inside]
+                    code = code << 6 | value[i : i + len(code)]
+                owner, size = np.repeat(np.arange(len(ids)), np.diff(to)), np.diff(to)
+                before = np.full(len(code), START, np.int64)
+                before[1:] = np.where(owner[1 : len(code)] == owner[: len(code) - 1], value[: len(code) - 1], START)
+                scale = (block << k) // SMALLEST
+                good = (owner[: len(code)] == owner[RUN - 1 :]) & (scale * size >= threshold)[owner[: len(code)]]
+                owner, code, before = owner[: len(code)][good], code[good], before[good]
+                if not len(code):
+                    continue
                 exponent = np.log2(block[owner] // SMALLEST).round().astype(np.int64) + k
-                both = np.unique(np.column_stack([exponent << 42 | code, ids[owner]]), axis=0) if len(code) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=[key, "_id"])
+                each = np.unique(np.column_stack([exponent << 42 | code, ids[owner], size[owner] << 7 | before]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(each[:, 0]), pa.array(each[:, 1]), pa.array(each[:, 2].astype(np.int16))], names=["_key", "_id", "_mark"])
 
     return run
 
 
-def _pairs(batches):
-    """Pairs of ids that follow each other with one key, in rows sorted by key; equal pairs of a batch once."""
-    held_key, held_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _may(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether a pair of rows of one key is to be emitted.
+
+    A common passage longer than a run shares many keys, but where the characters before the run are
+    equal the run that begins one earlier is shared too: only the leftmost speaks for it. The difference
+    of the lengths is part of the edit distance, so lengths too far apart can't score ``threshold``.
+    """
+    la, lb, before, other = one >> 7, two >> 7, one & 127, two & 127
+    near = 100 * np.abs(la - lb) <= (100 - threshold) * (la + lb)
+    return (a != b) & near & ((before != other) | (before == START))
 
-    def emit(key, ids):
+
+def _pairs(threshold: int):
+    def emit(key, ids, marks):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
         found = []
@@ -164,25 +187,33 @@ def _pairs(batches):
             for some in np.array_split(at, max(1, len(at) * k * k // 2_000_000)):
                 if k <= 2000:
                     i, j = np.triu_indices(k, 1)
-                    members = ids[some[:, None] + np.arange(k)]
-                    found.append(np.column_stack([members[:, i].ravel(), members[:, j].ravel()]))
+                    where = some[:, None] + np.arange(k)
+                    one, two = where[:, i].ravel(), where[:, j].ravel()
+                    good = _may(marks[one], marks[two], ids[one], ids[two], threshold)
+                    found.append(np.column_stack([ids[one[good]], ids[two[good]]]))
                 else:
                     for s in some:
                         for i in range(k - 1):
-                            found.append(np.column_stack([np.full(k - 1 - i, ids[s + i]), ids[s + i + 1 : s + k]]))
-            if sum(map(len, found)) > 4_000_000:
-                yield _unique(found)
-                found = []
+                            two = np.arange(s + i + 1, s + k)
+                            good = two[_may(np.full(len(two), marks[s + i]), marks[two], np.full(len(two), ids[s + i]), ids[two], threshold)]
+                            found.append(np.column_stack([np.full(len(good), ids[s + i]), ids[good]]))
+                if sum(map(len, found)) > 4_000_000:
+                    yield _unique(found)
+                    found = []
         if found:
             yield _unique(found)
 
-    for rows in batches:
-        key = np.concatenate([held_key, rows.column(0).to_numpy(zero_copy_only=False)])
-        ids = np.concatenate([held_id, rows.column(1).to_numpy(zero_copy_only=False)])
-        whole = np.searchsorted(key, key[-1]) if len(key) else 0  # the last key may go on in the next batch
-        held_key, held_id = key[whole:], ids[whole:]
-        yield from emit(key[:whole], ids[:whole])
-    yield from emit(held_key, held_id)
+    def run(batches):
+        """Pairs of ids that share a key, in rows sorted by key; equal pairs of a batch once."""
+        held = [np.zeros(0, np.int64) for _ in range(3)]
+        for rows in batches:
+            key, ids, marks = (np.concatenate([h, rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for c, h in enumerate(held))
+            whole = np.searchsorted(key, key[-1]) if len(key) else 0  # the last key may go on in the next batch
+            held = [key[whole:], ids[whole:], marks[whole:]]
+            yield from emit(key[:whole], ids[:whole], marks[:whole])
+        yield from emit(*held)
+
+    return run
 
 
 def _unique(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -265,8 +296,8 @@ def similar(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
     prints = s.table(prints.groupBy("_id").agg(F.min("_f").alias("_f")))
     groups = s.table(prints.groupBy("_f").agg(F.min("_id").alias("_rep"), F.array_sort(F.collect_list("_id")).alias("_members")).where("_f.signature <> ''"))
     flat = groups.select("_rep", "_f.block_size", "_f.signature", "_f.signature_double")
-    keys = flat.mapInArrow(_runs("_key"), "_key bigint, _id bigint")
-    pairs = keys.repartition("_key").sortWithinPartitions("_key").mapInArrow(_pairs, "_a bigint, _b bigint").distinct()
+    keys = flat.mapInArrow(_runs(threshold), "_key bigint, _id bigint, _mark smallint")
+    pairs = keys.repartition("_key").sortWithinPartitions("_key").mapInArrow(_pairs(threshold), "_a bigint, _b bigint").distinct()
     side = lambda to, x: flat.select(F.col("_rep").alias(to), F.col("block_size").alias(f"_{x}0"), F.col("signature").alias(f"_{x}1"), F.col("signature_double").alias(f"_{x}2"))
     both = pairs.join(side("_a", "x"), "_a").join(side("_b", "y"), "_b").select("_a", "_b", "_x0", "_x1", "_x2", "_y0", "_y1", "_y2")
 
