@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before
 it kept, and returns a DataFrame. All but the last return the columns of
-documents. SQL can't express the trained stages, so there is no ORACLE_SQL.
+documents. Mixing orders and drops nothing: documents beyond the schedule
+follow those in it. SQL can't express the trained stages, so there is no ORACLE_SQL.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.order_documents(docs)
+    return mixing.order_documents(docs, rest=True)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ inverting the demand gives the training time at which each one begins; the
 documents are range-sorted by it.
 
 The budget is the largest for which no source runs out (or a given number).
-A document whose count lies beyond its source's demand is not scheduled.
+A document whose count lies beyond its source's demand is not scheduled;
+``order_documents`` leaves it out or, with ``rest``, puts it after those that are.
 
 Cumulative counts are two-level: sums by (source, bucket of the shuffled
 order) are small and get a running total, and each bucket adds its own running
@@ -18,7 +19,8 @@ tasks.
 
 Defined results: a null source is a source of its own, named by null; a null
 or empty text has no token, so it stands where the next document stands and
-never takes part in a budget; a source of weight 0 throughout is not
+never takes part in a budget; a source without any token has no share, so it
+binds no budget; a source of weight 0 throughout or without any token is not
 scheduled; equal documents are ordered by id, repeated rows stand side by
 side; null ids come first in the order. No documents, no rows.
 """
@@ -52,6 +54,7 @@ def schedule_pieces(supply: DataFrame, knots: list[float], schedule: dict[str, l
     weight = F.array(*[F.lit(float(v)) for v in default])
     if known is not None:
         weight = F.coalesce(F.try_element_at(known, F.col("_source")), weight)
+    weight = F.when(F.col("_supply") > 0, weight).otherwise(F.array(*[F.lit(0.0) for _ in default]))
     everyone = Window.partitionBy()
     s = supply.select("_source", "_supply", weight.alias("_raw"))
     for k in range(len(knots)):
@@ -139,10 +142,15 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.orderBy(F.col("position").asc_nulls_last(), id_col)
 
 
-def order_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The scheduled documents with their own columns only, range-sorted by training position."""
+def order_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rest: bool = False, **how) -> DataFrame:
+    """The scheduled documents with their own columns only, range-sorted by training position.
+
+    With ``rest`` all others follow, in the shuffled order whatever their source.
+    """
     p = positions(docs, carried=docs.columns, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    return p.where("_time is not null").select("_time", "_row").orderBy("_time", F.col(f"_row.`{id_col}`")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    late = F.when(F.col("_time").isNull(), F.col("_order"))
+    wanted = (p if rest else p.where("_time is not null")).select("_time", late.alias("_late"), "_row")
+    return wanted.orderBy(F.col("_time").asc_nulls_last(), "_late", F.col(f"_row.`{id_col}`")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def oracle_sql() -> str:
