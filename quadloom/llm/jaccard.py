@@ -55,9 +55,10 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tup
     doc = np.repeat(np.arange(n), count)
     at = np.arange(len(h)) - by[doc]
     gram = np.zeros(len(h), np.uint64)
+    padded = np.concatenate([h, np.zeros(words - 1, np.uint64)])  # so that fillers reach the last text too
     for k in range(words):  # a short text is one n-gram of what it has
         gram *= tx.BASE
-        gram[: len(h) - k] += np.where(at[: len(h) - k] + k < count[doc[: len(h) - k]], h[k:], np.uint64(k))
+        gram += np.where(at + k < count[doc], padded[k : k + len(h)], np.uint64(k))
     whole = (at + words <= count[doc]) | (at == 0)
     gram, doc = tx.mix(gram[whole]), doc[whole]
     order = np.lexsort((gram, doc))
