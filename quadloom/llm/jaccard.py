@@ -211,7 +211,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     def run(rows, data, offsets):
         grams, to = ngram_sets(data, offsets)
         lists = pa.Array.from_buffers(pa.large_binary(), len(to) - 1, [None, pa.py_buffer(to * 8), pa.py_buffer(np.ascontiguousarray(grams))])
-        return pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, digests(grams, to)), _binary(signatures(grams, to)), lists.cast(pa.binary())], names=["_id", "_high", "_low", "_signature", "_grams"])
+        out = pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, digests(grams, to)), _binary(signatures(grams, to)), lists.cast(pa.binary())], names=["_id", "_high", "_low", "_signature", "_grams"])
+        some = np.diff(to) > 0  # as in sketch: a row without an n-gram stands for no id
+        return out if some.all() else out.filter(pa.array(some))
 
     return map_text(source, "_text", run, schema)
 
