@@ -54,9 +54,33 @@ class Scratch:
         """Delete a table that nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
+
+    def close(self, *kept: DataFrame) -> None:
+        """Delete all tables but ``kept``, those that the result reads; without any, the folder too."""
+        stay = {getattr(df, "_scratch_path", None) for df in kept}
+        if not kept:
+            _delete(self.spark, self.base)
+        for k in range(1, self.n + 1) if kept else ():
+            if (path := f"{self.base}/{k}") not in stay:
+                _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the written tables that ``df``, an operator's result, reads, once it isn't needed any more."""
+    for path in getattr(df, "_scratch_paths", ()):
+        _delete(df.sparkSession, path)
+
+
+def resting_on(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, which keeps the paths of the written tables that it reads for ``release``."""
+    df._scratch_paths = tuple(t._scratch_path for t in tables)
+    return df
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE):
@@ -104,6 +128,25 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A key is hot where more than this share of the joined rows has it; there can't be more than 1 / HOT of them.
+HOT, SALTS = 1 / 1024, 64
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has each key once and in ``count`` how many rows of ``left`` have it.
+
+    Rows of hot keys are spread over ``SALTS`` groups, so that a key that a third of all rows has is no single
+    task; at most 1 / ``HOT`` keys are hot, whatever the data, and only they are broadcast.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) > F.lit(int(total * HOT))
+    hot = right.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
+    spread = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
+    each = F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    return spread.join(right.withColumn("_salt", F.explode(each)), [*keys, "_salt"]).drop("_salt")
+
+
 def stable_hash(c: Column | str) -> Column:
     """An order of ids that has nothing to do with their values and is the same in every run."""
     return F.xxhash64(F.col(c) if isinstance(c, str) else c)

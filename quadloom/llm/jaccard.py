@@ -1,25 +1,33 @@
 """N-gram Jaccard join with Bayesian pruning of MinHash candidates.
 
-1. One scan gives each document its MinHash signature and a 128-bit digest of
-   its set of word n-grams. Documents of equal sets are one *representative*
-   from here on (exact copies, at any number, cost nothing more).
-2. Representatives that agree on one of ``HASHES / ROWS`` bands are candidates.
-3. Candidates are grouped by connected component, so the signatures and n-gram
-   sets of each document move once, not once for each pair. Within a component
-   signatures are compared ``STEP`` values at a time; after each step pairs go
-   for which the posterior probability of a Jaccard similarity of at least the
-   threshold, under a uniform prior, is below ``TOLERANCE``. A component beyond
-   ``BLOCK`` documents is worked on in pairs of blocks; none is dropped.
-4. What is left is verified exactly on the n-gram sets (as 64-bit hashes).
+1. One scan gives each document a 128-bit digest of its set of word n-grams
+   and the keys of the ``HASHES / ROWS`` bands of its MinHash signature.
+   Documents of equal sets are one *representative* from here on (exact copies,
+   at any number, cost nothing more).
+2. Representatives that agree on a band are candidates. They are never
+   written as pairs: stars around the least representative of each key give
+   connected components, and these are laid out in blocks of neighbours.
+3. A second scan of the involved texts sends signature and n-gram set to each
+   pair of blocks in which they meet. There candidates are compared ``STEP``
+   values at a time; after each step pairs go for which the posterior
+   probability of a Jaccard similarity of at least the threshold, under a
+   uniform prior, is below ``TOLERANCE``.
+4. What is left is verified exactly on the n-gram sets (as 64-bit hashes). Of
+   the links found a task returns each document's number of them and one link
+   to the least document it is connected with, so results grow with documents.
 
 Two documents are similar if the Jaccard similarity of their sets of word
 5-grams, of lower case, is at least 0.7. A text of fewer words is one n-gram.
+A class is a connected group of similar documents, named by its least id.
+Where only classes are wanted, as in ``keep_one``, candidates that are
+already connected aren't verified.
 
 Defined results: null and empty texts, and those without any word, have no
-n-gram and are similar to none; null ids take no part in pairs; rows that
-repeat an id are one document, with the text whose digest is least; further
-columns pass through ``keep_one``. Ties can't occur: of a group the least id
-stays.
+n-gram and are similar to none, a class of their own; null ids have no class
+and ``keep_one`` keeps their rows; rows that repeat an id are one document,
+with the text whose digest is least, which is also the row that ``keep_one``
+keeps (of rows with one digest the least by its columns' values); ids are of
+any type that has an order; further columns pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -27,17 +35,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm import textnp as tx
-from quadloom.llm.common import Scratch, map_text, unused
+from quadloom.llm.cluster import Groups, blocks, components, equal_pairs, meetings, shared
+from quadloom.llm.common import Scratch, join_counted, map_text, numbered, resting_on, unused
 
 WORDS, HASHES, ROWS, THRESHOLD = 5, 80, 4, 0.7
-STEP, TOLERANCE, BLOCK = 8, 0.01, 1024
-#: Involved documents up to which their ids (8 bytes each) are broadcast to the second scan.
-BROADCAST_IDS = 2_000_000
+STEP, TOLERANCE = 8, 0.01
+#: Documents, and n-grams (8 bytes each), of one block at about most.
+BLOCK, BLOCK_GRAMS = 1024, 2_000_000
+#: Rows (some 60 bytes each) up to which the involved documents are broadcast to a scan; beyond that they are joined.
+BROADCAST_ROWS = 500_000
 
 _draw = np.random.default_rng(20_240_501)
 _MULTIPLY = _draw.integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -91,46 +102,34 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band of each signature; keys of different bands differ."""
+    parts = np.ascontiguousarray(signature).reshape(len(signature), HASHES // ROWS, ROWS).astype(np.uint64)
+    key = np.zeros(parts.shape[:2], np.uint64) + np.arange(1, HASHES // ROWS + 1, dtype=np.uint64) * tx.BASE
+    for k in range(ROWS):
+        key = tx.mix(key + parts[:, :, k])
+        key *= tx.BASE
+    return key
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _high, _low, _signature) of the documents that have an id and an n-gram; _high and _low digest the set."""
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_id is not null and _text is not null")
-    schema = T.StructType([T.StructField("_id", source.schema["_id"].dataType), T.StructField("_high", T.LongType()), T.StructField("_low", T.LongType()), T.StructField("_signature", T.BinaryType())])
+    """(_id, _high, _low, _size, _keys) of every row with an id; _high and _low digest the set, _keys is null without an n-gram."""
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_id is not null")
+    kinds = [("_id", source.schema["_id"].dataType), ("_high", T.LongType()), ("_low", T.LongType()), ("_size", T.LongType()), ("_keys", T.ArrayType(T.LongType()))]
+    schema = T.StructType([T.StructField(*k) for k in kinds])
+    bands = HASHES // ROWS
 
     def run(rows, data, offsets):
         grams, to = ngram_sets(data, offsets)
         high, low = digests(grams, to)
-        some = np.flatnonzero(np.diff(to) > 0)
-        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(some)), pa.array(high[some]), pa.array(low[some]), _binary(signatures(grams, to)[some])], names=schema.names)
+        size = np.diff(to)
+        keys = band_keys(signatures(grams, to)).view(np.int64).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bands), pa.array(keys), mask=pa.array(size == 0) if (size == 0).any() else None)
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(high), pa.array(low), pa.array(size), lists], names=schema.names)
 
     return map_text(source, "_text", run, schema)
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(_id, _root) for every id of edges (_a, _b): the least id that it is connected with.
-
-    Alternating large-star and small-star steps, O(log² n) rounds; every round is
-    a written table, and the edges shrink towards stars.
-    """
-    edges = scratch.table(edges.select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v")).where("_u <> _v").distinct())
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
-        least = both.groupBy("_u").agg(F.min("_v").alias("_m")).withColumn("_m", F.least("_u", "_m"))
-        large = both.join(least, "_u").where("_v > _u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).distinct()
-        least = large.groupBy("_u").agg(F.min("_v").alias("_m"))
-        step = F.array(F.struct(F.col("_u").alias("_u"), F.col("_m").alias("_v")), F.struct(F.col("_v").alias("_u"), F.col("_m").alias("_v")))
-        small = large.join(least, "_u").select(F.explode(step).alias("_e"))
-        new = scratch.table(small.select("_e._u", "_e._v").where("_u <> _v").distinct())
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("_u", "_v").cast("decimal(38,0)"))).first()
-        scratch.drop(edges)
-        edges = new
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    roots = edges.groupBy("_u").agg(F.min("_v").alias("_root")).withColumnRenamed("_u", "_id")
-    return roots.unionByName(roots.select(F.col("_root").alias("_id"), "_root").distinct())
-
-
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> np.ndarray:
     """For each number of compared values, the fewest matches at which a pair stays.
 
@@ -179,136 +178,168 @@ def verify(a: np.ndarray, b: np.ndarray, left: list[np.ndarray], right: list[np.
     return out
 
 
-def _verify_block(threshold: float, least: np.ndarray):
-    def run(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"_a": np.zeros(0, np.int64), "_b": np.zeros(0, np.int64), "_j": np.zeros(0)})
-        if not len(rows) or not len(pairs):
-            return empty
-        rows = rows.sort_values(["_id", "_high", "_low"]).drop_duplicates("_id")  # of an id's sets the one that stands for it
-        ids = rows["_id"].to_numpy()
+def _compare(threshold: float, least: np.ndarray, want: str, id_type: T.DataType):
+    """The work on one pair of blocks, and its schema.
+
+    want: "links" for each row's links and the least row that it is connected with,
+    "classes" for the latter only, "pairs" for the similar pairs.
+    """
+    kinds = [("_a", id_type), ("_b", id_type), ("_j", T.DoubleType())] if want == "pairs" else [("_id", id_type), ("_to", id_type), ("_links", T.LongType())]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_id").drop_duplicates("_id")  # rows that repeat an id and have its set
+        ids, block = rows["_id"].to_numpy(), rows["_block"].to_numpy()
+        weight = rows["_n"].to_numpy()
         signature = np.frombuffer(b"".join(rows["_signature"]), np.uint32).reshape(len(ids), HASHES)
         sets = [np.frombuffer(g, np.uint64) for g in rows["_grams"]]
-        a, b = np.searchsorted(ids, pairs["_a"].to_numpy()), np.searchsorted(ids, pairs["_b"].to_numpy())
-        stay = prune(a, b, signature, signature, least)
-        a, b = a[stay], b[stay]
-        if not len(a):
-            return empty
-        j = verify(a, b, sets, sets)
-        good = j >= threshold
-        return pd.DataFrame({"_a": ids[a[good]], "_b": ids[b[good]], "_j": j[good]})
-
-    return run
+        groups, links, found = Groups(len(ids)), np.zeros(len(ids), np.int64), []
+        for a, b in equal_pairs(band_keys(signature), None if (block == block[:1]).all() else block):
+            if want == "classes":
+                open_ = groups.root[a] != groups.root[b]
+                a, b = a[open_], b[open_]
+            stay = prune(a, b, signature, signature, least)
+            a, b = a[stay], b[stay]
+            if not len(a):
+                continue
+            j = verify(a, b, sets, sets)
+            good = j >= threshold
+            a, b = a[good], b[good]
+            groups.link(a, b)
+            np.add.at(links, a, weight[b])
+            np.add.at(links, b, weight[a])
+            if want == "pairs":
+                found.append((a, b, j[good]))
+        if want == "pairs":
+            a, b, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            return pd.DataFrame({"_a": ids[a], "_b": ids[b], "_j": j.astype(float)})
+        some = np.flatnonzero(links > 0)
+        return pd.DataFrame({"_id": ids[some], "_to": ids[groups.root[some]], "_links": links[some]})
+
+    return run, T.StructType([T.StructField(*k) for k in kinds])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _high, _low, _signature, _grams) of the representatives in ``wanted`` (_id, _high, _low), from a second scan."""
-    source = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    ids = wanted.select("_id")
-    small = ids.count() <= BROADCAST_IDS
-    source = source.join(F.broadcast(ids) if small else ids, "_id", "left_semi")
-    schema = "_id bigint, _high bigint, _low bigint, _signature binary, _grams binary"
+    """(_id, _n, _block, _meets, _signature, _grams) of the representatives in ``wanted``, from a second scan."""
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    small = wanted.count() <= BROADCAST_ROWS
+    source = source.join(F.broadcast(wanted) if small else wanted, "_id").select("_id", "_n", "_block", "_meets", "_high", "_low", "_text")
+    schema = T.StructType([*source.schema.fields[:4], T.StructField("_signature", T.BinaryType()), T.StructField("_grams", T.BinaryType())])
 
     def run(rows, data, offsets):
         grams, to = ngram_sets(data, offsets)
+        high, low = digests(grams, to)
         lists = pa.Array.from_buffers(pa.large_binary(), len(to) - 1, [None, pa.py_buffer(to * 8), pa.py_buffer(np.ascontiguousarray(grams))])
-        out = pa.RecordBatch.from_arrays([rows.column(0), *map(pa.array, digests(grams, to)), _binary(signatures(grams, to)), lists.cast(pa.binary())], names=["_id", "_high", "_low", "_signature", "_grams"])
-        some = np.diff(to) > 0  # as in sketch: a row without an n-gram stands for no id
-        return out if some.all() else out.filter(pa.array(some))
+        out = pa.RecordBatch.from_arrays([*rows.columns[:4], _binary(signatures(grams, to)), lists.cast(pa.binary())], names=schema.names)
+        one = (high == rows.column(4).to_numpy()) & (low == rows.column(5).to_numpy())  # of an id's texts the one that stands for it
+        return out if one.all() else out.filter(pa.array(one))
 
     return map_text(source, "_text", run, schema)
 
 
 class Join:
-    """The join's parts, as written tables; ``close`` drops those that no result reads."""
+    """The join's parts, as written tables: ``one`` (_id, _high, _low, _size) for each id and ``reps`` (_high, _low, _rep, _n, _size)."""
 
     def __init__(self, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"):
-        spark: SparkSession = docs.sparkSession
-        self.scratch = s = Scratch(spark)
-        rows = sketch(docs, id_col, text_col).withColumn("_id", F.col("_id").cast("bigint"))
-        # one row for each id, then one representative for each set
-        one = rows.groupBy("_id").agg(F.min(F.struct("_high", "_low", "_signature")).alias("_s"))
-        reps = one.groupBy("_s._high", "_s._low").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"), F.min("_s._signature").alias("_signature"), F.collect_list("_id").alias("_members"))
+        self.docs, self.threshold, self.columns = docs, threshold, (id_col, text_col)
+        self.scratch = s = Scratch(docs.sparkSession)
+        sketches = s.table(sketch(docs, id_col, text_col))
+        set_ = F.when(F.col("_size") > 0, F.struct("_high", "_low", "_size"))
+        self.one = s.table(sketches.groupBy("_id").agg(F.min(set_).alias("_s")).select("_id", "_s.*"))
+        reps = self.one.where("_size is not null").groupBy("_high", "_low").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"), F.min("_size").alias("_size"))
         self.reps = s.table(reps)
-        bands = HASHES // ROWS
-        keys = F.transform(
-            F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring(F.col("_signature"), k * (4 * ROWS) + 1, F.lit(4 * ROWS)))
-        )
-        buckets = self.reps.select("_rep", F.explode(keys).alias("_key"))
-        groups = buckets.groupBy("_key").agg(F.collect_list("_rep").alias("_in")).where("size(_in) > 1").select(F.array_sort("_in").alias("_in"))
-        each = groups.select("_in", F.posexplode("_in").alias("_at", "_a")).select("_a", F.explode(F.slice("_in", F.col("_at") + 2, F.size("_in"))).alias("_b"))
-        self.candidates = s.table(each.distinct())
-        self.pairs = s.table(self._verified(docs, threshold, id_col, text_col))
-
-    def _verified(self, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+        ends = self.reps.select(F.col("_rep").alias("_id"), F.col("_high").alias("_h"), F.col("_low").alias("_l"))
+        keyed = sketches.where("_keys is not null").join(ends, "_id").where("_high = _h and _low = _l").select("_id", "_keys").dropDuplicates(["_id"])
+        self.keys = shared(keyed.select("_id", F.explode("_keys").alias("_key")), s)
+        s.drop(sketches)
+
+    def compared(self, want: str) -> DataFrame:
+        """What ``_compare`` returns for all pairs of blocks."""
+        s = self.scratch
+        roots = components(self.keys.select(F.col("_id").alias("_a"), F.col("_least").alias("_b")), s)
+        near = self.keys.groupBy("_id").agg(F.min("_key").alias("_near"))
+        known = self.reps.select(F.col("_rep").alias("_id"), "_high", "_low", "_n", "_size")
+        placed = blocks(near.join(roots, "_id").join(known, "_id"), s, ["_root", "_near", "_id"], BLOCK, BLOCK_GRAMS).drop("_root", "_near", "_size")
+        wanted = s.table(meetings(self.keys, placed))
+        sets = _sets(self.docs, wanted, *self.columns)
+        spread = sets.withColumn("_meet", F.explode("_meets")).select("_meet.x", "_meet.y", "_id", "_n", "_block", "_signature", "_grams")
+        run, schema = _compare(self.threshold, least_matches(self.threshold), want, sets.schema["_id"].dataType)
+        return s.table(spread.groupBy("x", "y").applyInPandas(lambda rows: run(rows), schema))
+
+    def classes(self, links: bool = True) -> DataFrame:
+        """(_id, _class, _links) of every id, as a written table; _links is 0 where ``links`` isn't asked for."""
         s = self.scratch
-        roots = s.table(components(self.candidates, s))
-        rank = F.row_number().over(Window.partitionBy("_root").orderBy("_id"))
-        ranked = roots.withColumn("_block", F.floor((rank - 1) / BLOCK).cast("int")).withColumn("_last", F.floor((F.count("*").over(Window.partitionBy("_root")) - 1) / BLOCK).cast("int"))
-        # small components share groups, so that a group is worth its overhead
-        bins = roots.count() // BLOCK + 1
-        place = s.table(ranked.withColumn("_group", F.when(F.col("_last") == 0, -1 - F.pmod(F.xxhash64("_root"), F.lit(bins))).otherwise(F.col("_root"))).drop("_root"))
-        located = _sets(docs, place, id_col, text_col).join(place, "_id")
-        meets = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda o: F.struct(F.least("_block", o).alias("x"), F.greatest("_block", o).alias("y")))
-        spread = located.select("_id", "_high", "_low", "_signature", "_grams", "_group", F.explode(meets).alias("_k"))
-        spread = spread.select("_group", F.col("_k.x").alias("_x"), F.col("_k.y").alias("_y"), "_id", "_high", "_low", "_signature", "_grams")
-        pairs = self.candidates.join(place.select(F.col("_id").alias("_a"), "_group", F.col("_block").alias("_x")), "_a").join(place.select(F.col("_id").alias("_b"), F.col("_block").alias("_y")), "_b")
-        pairs = pairs.select("_group", F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"), "_a", "_b")
-        run = _verify_block(threshold, least_matches(threshold))
-        keys = ["_group", "_x", "_y"]
-        return spread.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInPandas(run, "_a bigint, _b bigint, _j double")
-
-    def all_pairs(self) -> DataFrame:
-        """(doc_a, doc_b, jaccard) of all documents, members of one representative included."""
-        members = self.reps.where("_n > 1").select(F.col("_members"))
-        equal = members.select(F.array_sort("_members").alias("_in")).select("_in", F.posexplode("_in").alias("_at", "doc_a"))
-        equal = equal.select("doc_a", F.explode(F.slice("_in", F.col("_at") + 2, F.size("_in"))).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-        of = self.reps.select("_rep", "_members")
-        across = self.pairs.join(of.select(F.col("_rep").alias("_a"), F.col("_members").alias("_ma")), "_a").join(of.select(F.col("_rep").alias("_b"), F.col("_members").alias("_mb")), "_b")
-        across = across.select("_j", F.explode("_ma").alias("_x"), "_mb").select("_j", "_x", F.explode("_mb").alias("_y"))
-        return equal.unionByName(across.select(F.least("_x", "_y").alias("doc_a"), F.greatest("_x", "_y").alias("doc_b"), F.col("_j").alias("jaccard")))
-
-    def removed(self) -> DataFrame:
-        """(_id) of every document of whose group another stays."""
-        roots = components(self.pairs, self.scratch)
-        members = self.reps.select("_rep", F.explode("_members").alias("_id"))
-        joined = members.join(roots.withColumnRenamed("_id", "_rep"), "_rep", "left")
-        return joined.where(F.col("_id") != F.coalesce("_root", "_rep")).select("_id")
-
-
-def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_a, doc_b, jaccard) of every pair of similar documents, doc_a < doc_b."""
-    return Join(docs, threshold, id_col, text_col).all_pairs()
+        parts = self.compared("links" if links else "classes")
+        roots = components(parts.select(F.col("_id").alias("_a"), F.col("_to").alias("_b")), s).withColumnRenamed("_id", "_rep")
+        counted = parts.groupBy(F.col("_id").alias("_rep")).agg(F.sum("_links").alias("_links"))
+        count = F.coalesce("_links", F.lit(0).cast("bigint")) + F.col("_n") - 1 if links else F.lit(0).cast("bigint")
+        reps = self.reps.join(counted, "_rep", "left").join(roots, "_rep", "left")
+        reps = s.table(reps.select("_high", "_low", "_n", F.coalesce("_root", "_rep").alias("_class"), count.alias("_links")))
+        known = join_counted(self.one.where("_size is not null").select("_id", "_high", "_low"), reps, ["_high", "_low"], "_n").select("_id", "_class", "_links")
+        out = s.table(known.unionByName(self.one.where("_size is null").select("_id", F.col("_id").alias("_class"), F.lit(0).cast("bigint").alias("_links"))))
+        s.close(out)
+        return out
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, links) of every id: the least id of its class, and how many other documents are similar to it."""
+    out = Join(docs, threshold, id_col, text_col).classes()
+    return resting_on(out.select(F.col("_id").alias(id_col), F.col("_class").alias("class_id"), F.col("_links").alias("links")), out)
+
+
+def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_a, doc_b, jaccard) of every pair of similar different sets, doc_a < doc_b the least ids that have them."""
+    join = Join(docs, threshold, id_col, text_col)
+    out = join.compared("pairs")
+    join.scratch.close(out)
+    return resting_on(out.select(F.col("_a").alias("doc_a"), F.col("_b").alias("doc_b"), F.col("_j").alias("jaccard")), out)
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of similar ones, and all that are in none, with their own columns only.
+def _least_rows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of the rows of each id the one with an n-gram and the least digest, else with the least values."""
+    plain = numbered(rows)
+    schema = T.StructType([*plain.schema.fields, T.StructField("_none", T.BooleanType()), T.StructField("_high", T.LongType()), T.StructField("_low", T.LongType())])
+    at, text = rows.columns.index(id_col), rows.columns.index(text_col)
 
-    Of rows that repeat an id one stays.
-    """
+    def run(batch, data, offsets):
+        grams, to = ngram_sets(data, offsets)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(to) == 0), *map(pa.array, digests(grams, to))], names=schema.names)
+
+    # shuffles the rows of repeated ids only, with partial aggregation, so that an id may repeat at any number
+    marked = map_text(plain, f"c{text}", run, schema)
+    order = F.struct("_none", "_high", "_low", F.to_json(F.struct(*plain.columns)).alias("_all"))
+    return marked.groupBy(F.col(f"c{at}").alias("_id")).agg(F.min_by(F.struct(*plain.columns), order).alias("_row")).select("_row.*").toDF(*rows.columns)
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class, that of the least id, and all that have no id, with their own columns only."""
     join = Join(docs, threshold, id_col, text_col)
+    s = join.scratch
+    out = join.classes(links=False)
     gone_id, twice_id = unused(docs, "_gone"), unused(docs, "_twice")
-    gone = join.scratch.table(join.removed().select(F.col("_id").alias(gone_id)))
+    gone = s.table(out.where("_id <> _class").select(F.col("_id").alias(gone_id)))
     ids = docs.select(F.col(id_col).alias(twice_id)).where(F.col(twice_id).isNotNull()).groupBy(twice_id).agg(F.count("*").alias("_n")).where("_n > 1").select(twice_id)
-    twice = join.scratch.table(ids)
-    small = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone[gone_id], "left_anti")
+    twice = s.table(ids)
+    s.close(gone, twice)
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs[id_col] == gone[gone_id], "left_anti")
     if twice.isEmpty():
-        return kept
-    once = kept.join(twice, kept[id_col] == twice[twice_id], "left_anti")
-    again = kept.join(twice, kept[id_col] == twice[twice_id], "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again)
+        return resting_on(kept, gone)
+    few = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    once = kept.join(few, kept[id_col] == few[twice_id], "left_anti")
+    again = kept.join(few, kept[id_col] == few[twice_id], "left_semi")
+    return resting_on(once.unionByName(_least_rows(again, id_col, text_col)), gone, twice)
 
 
 def oracle_sql() -> str:
-    """The same by brute force over shared n-grams."""
+    """Classes and links by brute force over shared n-grams."""
     last = WORDS - 1
     return f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {last}, 1) + 1)) AS i FROM w WHERE len(w) > 0),
 g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {last}], ' ') AS g FROM p),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, c / (x.n + y.n - c)::DOUBLE AS jaccard
-FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE c / (x.n + y.n - c)::DOUBLE >= {THRESHOLD}
+c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT doc_a, doc_b FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c)::DOUBLE >= {THRESHOLD}),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.doc_b, r.root FROM r JOIN e ON e.doc_a = r.doc_id WHERE r.root < e.doc_b),
+l AS (SELECT doc_a AS doc_id, count(*) AS links FROM e GROUP BY doc_a)
+SELECT doc_id, min(root) AS class_id, coalesce(any_value(links), 0) AS links FROM r LEFT JOIN l USING (doc_id) GROUP BY doc_id
 """

@@ -45,14 +45,16 @@ def test_bpe(messy):
 
 
 def test_jaccard(messy):
-    pairs = {(r.doc_a, r.doc_b) for r in jaccard.jaccard_pairs(messy).collect()}
-    assert {(0, 12), (0, 13), (12, 13)} <= pairs and all(a < b for a, b in pairs) and not {14, 15, 17} & {x for p in pairs for x in p}
+    rows = jaccard.classes(messy).collect()
+    by = {r.doc_id: (r.class_id, r.links) for r in rows}
+    assert len(rows) == len(by) and set(by) == {r.doc_id for r in messy.collect() if r.doc_id is not None}
+    assert by[0] == by[12] == by[13] == (0, 2) and all(by[k] == (k, 0) for k in (14, 15, 16, 17, 18))
     kept = jaccard.keep_one(messy)
     assert kept.columns == messy.columns
     left = [r.doc_id for r in kept.collect()]
     assert left.count(0) == 1 and 12 not in left and 13 not in left and {14, 15, 16, 17, 18} <= set(left)
     assert left.count(None) == 2 and left.count(5) == 1 and left.count(3) == 1
-    assert jaccard.jaccard_pairs(messy.limit(0)).count() == jaccard.keep_one(messy.limit(0)).count() == 0
+    assert jaccard.classes(messy.limit(0)).count() == jaccard.keep_one(messy.limit(0)).count() == jaccard.similar_sets(messy.limit(0)).count() == 0
 
 
 def test_mixing(messy):

@@ -33,6 +33,6 @@ def test_short_texts_differ():
 def test_copies_of_short_texts(spark):
     rows = [(0, "one two"), (1, LONG), (2, "one two"), (3, "three"), (4, LONG), (5, "three"), (6, "One, two!")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
-    got = {(r.doc_a, r.doc_b) for r in jaccard.jaccard_pairs(df).collect()}
-    assert got == {(0, 2), (0, 6), (2, 6), (1, 4), (3, 5)}
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(df).collect()}
+    assert got == {0: (0, 2), 2: (0, 2), 6: (0, 2), 1: (1, 1), 4: (1, 1), 3: (3, 1), 5: (3, 1)}
     assert {r.doc_id for r in jaccard.keep_one(df).collect()} == {0, 1, 3}

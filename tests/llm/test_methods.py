@@ -50,15 +50,24 @@ def test_jaccard_brute_force(spark):
         if a and b and (s := len(a & b) / len(a | b)) >= 0.7:
             want[i, j] = s
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.jaccard_pairs(df).collect()}
-    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
-    assert len(got) >= 0.9 * len(want) and len(want) > 20
-    kept = {r.doc_id for r in jaccard.keep_one(df).collect()}
-    root = list(range(len(texts)))
+    first = {}
+    for i, g in enumerate(map(grams, texts)):
+        first.setdefault(frozenset(g), i)
+    different = {k: v for k, v in want.items() if v < 1 and set(k) <= set(first.values())}
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.similar_sets(df).collect()}
+    assert set(got) <= set(different) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    assert len(got) >= 0.9 * len(different) and len(different) > 20
+    rep = [first[frozenset(g)] for g in map(grams, texts)]
+    found = [(i, j) for i, j in want if rep[i] == rep[j] or (min(rep[i], rep[j]), max(rep[i], rep[j])) in got]
+    root, links = list(range(len(texts))), [0] * len(texts)
+    for i, j in found:
+        links[i] += 1
+        links[j] += 1
     for _ in texts:
-        for i, j in got:
+        for i, j in found:
             root[i] = root[j] = min(root[i], root[j])
-    assert kept == set(root)
+    assert {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(df).collect()} == dict(enumerate(zip(root, links)))
+    assert {r.doc_id for r in jaccard.keep_one(df).collect()} == set(root)
 
 
 def test_posterior_bound():
