@@ -16,13 +16,16 @@ short texts agree by chance. Equal fingerprints score 100.
 Chunk boundaries and hashes are computed for a slice of documents at once by
 shifts and one prefix sum. For the search all runs of the distinct fingerprints
 are sorted; documents with one fingerprint are one entry, and edit distances
-are bit-parallel over a batch of pairs.
+are bit-parallel over a batch of pairs. The rows of a run that many have are
+handed on in blocks, whose pairs are tasks of their own. The result has one row
+for each document, with its class (a connected group of similar ones) and the
+number of its links, so copies are never listed with each other.
 
 Defined results: a null or empty text has block size 3 and empty strings, and
 is similar to none; texts too short for ``RUN`` characters are similar only
 where fingerprints are equal and not empty; null ids take no part; repeated
-rows of one id are one document (its least fingerprint); further columns are
-left behind.
+rows of one id are one document (its least fingerprint); ids are of any type
+that has an order; further columns are left behind.
 """
 
 from __future__ import annotations
@@ -34,9 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm import textnp as tx
-from quadloom.llm.common import Scratch, map_text
+from quadloom.llm.cluster import components
+from quadloom.llm.common import Scratch, join_counted, map_text, resting_on
 
 LENGTH, RUN, SMALLEST, THRESHOLD = 64, 7, 3, 60
+#: Rows of one block of a key that has many.
+BLOCK = 1024
 _CHARACTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _VALUE = np.zeros(256, np.uint8)
 _VALUE[_CHARACTERS] = np.arange(64)
@@ -165,62 +171,97 @@ def _runs(threshold: int):
     return run
 
 
-def _may(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
-    """Whether a pair of rows of one key is to be emitted.
+def _may(rows: np.ndarray, one: np.ndarray, two: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether a pair of rows (id, mark, side) of one key is to be emitted.
 
     A common passage longer than a run shares many keys, but where the characters before the run are
     equal the run that begins one earlier is shared too: only the leftmost speaks for it. The difference
     of the lengths is part of the edit distance, so lengths too far apart can't score ``threshold``.
+    Rows of different blocks of a hot key (sides 1 and 2) are paired across only.
     """
-    la, lb, before, other = one >> 7, two >> 7, one & 127, two & 127
+    x, y = rows[one], rows[two]
+    la, lb, before, other = x[:, 1] >> 7, y[:, 1] >> 7, x[:, 1] & 127, y[:, 1] & 127
     near = 100 * np.abs(la - lb) <= (100 - threshold) * (la + lb)
-    return (a != b) & near & ((before != other) | (before == START))
+    return (x[:, 0] != y[:, 0]) & near & ((before != other) | (before == START)) & ((x[:, 2] == 0) | (x[:, 2] != y[:, 2]))
 
 
 def _pairs(threshold: int):
-    def emit(key, ids, marks):
+    """Pairs of ids that share a key, from (key, id, mark, side) sorted by key; equal pairs of a batch once.
+
+    The rows of a key that has more than ``BLOCK`` of them are handed on in numbered blocks instead, as
+    (key, id, mark, block), and none of them is held.
+    """
+    names = ["_a", "_b", "_mark", "_block"]
+
+    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+        p = np.concatenate(found)
+        p = np.unique(np.column_stack([p.min(axis=1), p.max(axis=1)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int16()), pa.nulls(len(p), pa.int64())], names=names)
+
+    def emit(key, rows):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
         found = []
         for k in np.unique(size[size > 1]):
             at = first[size == k]
-            for some in np.array_split(at, max(1, len(at) * k * k // 2_000_000)):
-                if k <= 2000:
-                    i, j = np.triu_indices(k, 1)
-                    where = some[:, None] + np.arange(k)
-                    one, two = where[:, i].ravel(), where[:, j].ravel()
-                    good = _may(marks[one], marks[two], ids[one], ids[two], threshold)
-                    found.append(np.column_stack([ids[one[good]], ids[two[good]]]))
-                else:
-                    for s in some:
-                        for i in range(k - 1):
-                            two = np.arange(s + i + 1, s + k)
-                            good = two[_may(np.full(len(two), marks[s + i]), marks[two], np.full(len(two), ids[s + i]), ids[two], threshold)]
-                            found.append(np.column_stack([np.full(len(good), ids[s + i]), ids[good]]))
-                if sum(map(len, found)) > 4_000_000:
-                    yield _unique(found)
-                    found = []
+            i, j = np.triu_indices(k, 1)
+            for some in np.array_split(at, max(1, min(len(at), len(at) * k * k // 2_000_000))):
+                where = some[:, None] + np.arange(k)
+                for part in np.array_split(np.arange(len(i)), max(1, len(some) * len(i) // 2_000_000)):
+                    one, two = where[:, i[part]].ravel(), where[:, j[part]].ravel()
+                    good = _may(rows, one, two, threshold)
+                    found.append(np.column_stack([rows[one[good], 0], rows[two[good], 0]]))
+                    if sum(map(len, found)) > 4_000_000:
+                        yield pairs(found)
+                        found = []
         if found:
-            yield _unique(found)
+            yield pairs(found)
+
+    def hand_on(key: int, rows: np.ndarray, block: int):
+        numbers = block + np.arange(len(rows)) // BLOCK
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), key)), pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int16)), pa.array(numbers)], names=names)
 
     def run(batches):
-        """Pairs of ids that share a key, in rows sorted by key; equal pairs of a batch once."""
-        held = [np.zeros(0, np.int64) for _ in range(3)]
-        for rows in batches:
-            key, ids, marks = (np.concatenate([h, rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for c, h in enumerate(held))
-            whole = np.searchsorted(key, key[-1]) if len(key) else 0  # the last key may go on in the next batch
-            held = [key[whole:], ids[whole:], marks[whole:]]
-            yield from emit(key[:whole], ids[:whole], marks[:whole])
-        yield from emit(*held)
+        key, rows, hot, block = np.zeros(0, np.int64), np.zeros((0, 3), np.int64), None, 0
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)]
+            key, rows = np.concatenate([key, columns[0]]), np.concatenate([rows, np.column_stack(columns[1:])])
+            if not len(key):
+                continue
+            if hot is not None:  # more of a key that was handed on
+                n = np.searchsorted(key, hot, side="right")
+                if n:
+                    yield hand_on(hot, rows[:n], block)
+                    block += -(-n // BLOCK)
+                key, rows = key[n:], rows[n:]
+                if not len(key):
+                    continue
+                hot = None
+            whole = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
+            first = np.flatnonzero(np.concatenate([[True], key[1:whole] != key[: whole - 1]])) if whole else np.zeros(0, np.int64)
+            size = np.diff(np.append(first, whole))
+            few = np.repeat(size <= 2 * BLOCK, size)
+            yield from emit(key[:whole][few], rows[:whole][few])
+            for f, n in zip(first[size > 2 * BLOCK], size[size > 2 * BLOCK]):
+                yield hand_on(key[f], rows[f : f + n], 0)
+            key, rows = key[whole:], rows[whole:]
+            if len(key) > 2 * BLOCK:
+                hot, block = key[0], -(-len(key) // BLOCK)
+                yield hand_on(hot, rows, 0)
+                key, rows = key[:0], rows[:0]
+        yield from emit(key, rows)
 
     return run
 
 
-def _unique(found: list[np.ndarray]) -> pa.RecordBatch:
-    p = np.concatenate(found)
-    p = np.unique(np.column_stack([p.min(axis=1), p.max(axis=1)]), axis=0)
-    p = p[p[:, 0] != p[:, 1]]
-    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["_a", "_b"])
+def _pairs_of_blocks(threshold: int):
+    """Pairs of ids that share a key, where no key has more rows than two blocks."""
+
+    def run(batches):
+        for batch in _pairs(threshold)(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["_a", "_b"])
+
+    return run
 
 
 def common_length(a: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_to: np.ndarray) -> np.ndarray:
@@ -286,37 +327,59 @@ def pair_scores(rows: pa.RecordBatch) -> np.ndarray:
     return best
 
 
-def similar(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block_size, signature, signature_double, similar) of every document that has an id.
-
-    ``similar``: an array of (doc_id, score), sorted by id, of all documents that score ``threshold`` or more.
-    """
-    s = Scratch(docs.sparkSession)
-    prints = fingerprint(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("_id"), F.struct("block_size", "signature", "signature_double").alias("_f")).where("_id is not null")
+def _candidates(flat: DataFrame, threshold: int, s: Scratch) -> DataFrame:
+    """(_a, _b), each pair of fingerprints that share a run once."""
+    schema = "_a bigint, _b bigint, _mark smallint, _block bigint"
+    join = lambda keys: keys.repartition("_key").sortWithinPartitions("_key").mapInArrow(_pairs(threshold), schema)
+    keys = flat.mapInArrow(_runs(threshold), "_key bigint, _id bigint, _mark smallint").withColumn("_side", F.lit(0).cast("smallint"))
+    found = s.table(join(keys))
+    rows = found.where("_block is not null").select(F.col("_a").alias("_key"), F.col("_b").alias("_id"), "_mark", "_block")
+    # each block of a hot key meets each other one in a task of its own; a block and its own rows are one too
+    last = rows.groupBy("_key").agg(F.max("_block").alias("_last"), F.count("*").alias("_n"))
+    met = join_counted(rows, s.table(last), ["_key"], "_n").withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")))
+    side = F.when(F.col("_block") == F.col("_o"), 0).when(F.col("_block") < F.col("_o"), 1).otherwise(2).cast("smallint")
+    met = met.select(F.xxhash64("_key", F.least("_block", "_o"), F.greatest("_block", "_o")).alias("_key"), "_id", "_mark", side.alias("_side"))
+    across = met.repartition("_key").sortWithinPartitions("_key").mapInArrow(_pairs_of_blocks(threshold), "_a bigint, _b bigint")
+    return found.where("_block is null").select("_a", "_b").unionByName(across).distinct()
+
+
+def links(docs: DataFrame, threshold: int, id_col: str, text_col: str, s: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(_id, _f), (_node, _rep, _n, _f) of the distinct fingerprints _f, and (_a, _b, _na, _nb, _score) of similar ones, as written tables."""
+    prints = fingerprint(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.struct("block_size", "signature", "signature_double").alias("_f")).where("_id is not null")
     prints = s.table(prints.groupBy("_id").agg(F.min("_f").alias("_f")))
-    groups = s.table(prints.groupBy("_f").agg(F.min("_id").alias("_rep"), F.array_sort(F.collect_list("_id")).alias("_members")).where("_f.signature <> ''"))
-    flat = groups.select("_rep", "_f.block_size", "_f.signature", "_f.signature_double")
-    keys = flat.mapInArrow(_runs(threshold), "_key bigint, _id bigint, _mark smallint")
-    pairs = keys.repartition("_key").sortWithinPartitions("_key").mapInArrow(_pairs(threshold), "_a bigint, _b bigint").distinct()
-    side = lambda to, x: flat.select(F.col("_rep").alias(to), F.col("block_size").alias(f"_{x}0"), F.col("signature").alias(f"_{x}1"), F.col("signature_double").alias(f"_{x}2"))
-    both = pairs.join(side("_a", "x"), "_a").join(side("_b", "y"), "_b").select("_a", "_b", "_x0", "_x1", "_x2", "_y0", "_y1", "_y2")
+    groups = prints.where("_f.signature <> ''").groupBy("_f").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"))
+    groups = s.table(groups.withColumn("_node", F.monotonically_increasing_id()))
+    flat = groups.select("_node", "_f.block_size", "_f.signature", "_f.signature_double")
+    side = lambda to, x: groups.select(F.col("_node").alias(to), F.col("_n").alias(f"_n{to[1]}"), F.col("_f.block_size").alias(f"_{x}0"), F.col("_f.signature").alias(f"_{x}1"), F.col("_f.signature_double").alias(f"_{x}2"))
+    both = _candidates(flat, threshold, s).join(side("_a", "x"), "_a").join(side("_b", "y"), "_b").select("_a", "_b", "_x0", "_x1", "_x2", "_y0", "_y1", "_y2", "_na", "_nb")
+    names = ["_a", "_b", "_na", "_nb", "_score"]
 
     def score(batches):
         for rows in batches:
             for at in range(0, rows.num_rows, 20_000):
                 part = rows.slice(at, 20_000)
                 got = pair_scores(part)
-                good = np.flatnonzero(got >= threshold)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(good)), part.column(1).take(pa.array(good)), pa.array(got[good])], names=["_a", "_b", "_score"])
-
-    scored = s.table(both.mapInArrow(score, "_a bigint, _b bigint, _score bigint"))
-    of = groups.select("_rep", "_members")
-    ways = scored.unionByName(scored.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "_score"))
-    partners = ways.join(of.select(F.col("_rep").alias("_b"), F.col("_members").alias("_theirs")), "_b")
-    partners = partners.groupBy("_a").agg(F.flatten(F.collect_list(F.transform("_theirs", lambda m: F.struct(m.alias("doc_id"), F.col("_score").alias("score"))))).alias("_near"))
-    own = of.join(partners.withColumnRenamed("_a", "_rep"), "_rep", "left").select("_members", F.coalesce("_near", F.array().cast("array<struct<doc_id:bigint,score:bigint>>")).alias("_near"))
-    near = own.select(F.explode("_members").alias("_id"), "_members", "_near")
-    copies = F.transform(F.filter("_members", lambda m: m != F.col("_id")), lambda m: F.struct(m.alias("doc_id"), F.lit(100).cast("bigint").alias("score")))
-    near = near.select("_id", F.array_sort(F.concat(copies, "_near")).alias("similar"))
-    none = F.array().cast("array<struct<doc_id:bigint,score:bigint>>")
-    return prints.join(near, "_id", "left").select(F.col("_id").alias("doc_id"), "_f.block_size", "_f.signature", "_f.signature_double", F.coalesce("similar", none).alias("similar"))
+                good = pa.array(np.flatnonzero(got >= threshold))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(good) for k in (0, 1, 8, 9)), pa.array(got).take(good)], names=names)
+
+    return prints, groups, s.table(both.mapInArrow(score, ", ".join(f"{n} bigint" for n in names)))
+
+
+def similar(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, block_size, signature, signature_double, class_id, links) of every id.
+
+    class_id: the least id that it is connected with by similar fingerprints, directly or by others;
+    links: how many other documents score ``threshold`` or more.
+    """
+    s = Scratch(docs.sparkSession)
+    prints, groups, scored = links(docs, threshold, id_col, text_col, s)
+    roots = components(scored.select("_a", "_b"), s).withColumnRenamed("_id", "_node")
+    ways = scored.select(F.col("_a").alias("_node"), F.col("_nb").alias("_w")).unionByName(scored.select(F.col("_b").alias("_node"), F.col("_na").alias("_w")))
+    known = groups.join(ways.groupBy("_node").agg(F.sum("_w").alias("_w")), "_node", "left").join(roots, "_node", "left")
+    least = known.where("_root is not null").groupBy("_root").agg(F.min("_rep").alias("_least"))
+    known = known.join(least, "_root", "left").select("_f", "_n", F.coalesce("_least", "_rep").alias("_class"), (F.coalesce("_w", F.lit(0).cast("bigint")) + F.col("_n") - 1).alias("_links"))
+    found = join_counted(prints.where("_f.signature <> ''"), s.table(known), ["_f"], "_n").select("_id", "_f", "_class", "_links")
+    alone = prints.where("_f.signature = ''").select("_id", "_f", F.col("_id").alias("_class"), F.lit(0).cast("bigint").alias("_links"))
+    out = s.table(found.unionByName(alone))
+    s.close(out)
+    return resting_on(out.select(F.col("_id").alias(id_col), "_f.block_size", "_f.signature", "_f.signature_double", F.col("_class").alias("class_id"), F.col("_links").alias("links")), out)

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import compare
@@ -144,13 +145,50 @@ def test_ctph_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     rows = {r.doc_id: r for r in ctph.similar(df).collect()}
     prints = {k: (r.block_size, r.signature, r.signature_double) for k, r in rows.items()}
-    want = {k: [] for k in rows}
+    want, root = {k: {} for k in rows}, {k: k for k in rows}
     for a, b in itertools.permutations(rows, 2):
         score = 100 if prints[a] == prints[b] and prints[a][1] else ctph_by_hand(prints[a], prints[b])
         if score >= ctph.THRESHOLD:
-            want[a].append((b, score))
+            want[a][b] = score
+    for _ in rows:
+        for a in want:
+            for b in want[a]:
+                root[a] = root[b] = min(root[a], root[b])
     assert sum(map(len, want.values())) > 20
-    assert {k: [tuple(x) for x in r.similar] for k, r in rows.items()} == {k: sorted(v) for k, v in want.items()}
+    assert {k: (r.class_id, r.links) for k, r in rows.items()} == {k: (root[k], len(v)) for k, v in want.items()}
+    s = Scratch(spark)
+    _, groups, scored = ctph.links(df, ctph.THRESHOLD, "doc_id", "text", s)
+    rep = {r._node: r._rep for r in groups.collect()}
+    assert {(x, y): r._score for r in scored.collect() for x, y in ((rep[r._a], rep[r._b]), (rep[r._b], rep[r._a]))} == {(a, b): v for a in want for b, v in want[a].items() if {a, b} <= set(rep.values())}
+    s.close()
+
+
+@pytest.mark.parametrize("block", [2, 5, 1024])
+def test_ctph_hot_keys(block, monkeypatch):
+    """Keys beyond two blocks are handed on; the pairs of all blocks are those of the key."""
+    monkeypatch.setattr(ctph, "BLOCK", block)
+    draw = random.Random(block)
+    rows = sorted({(draw.choice([1, 1, 1, 2, 3]), draw.randrange(60), draw.randrange(20, 60) << 7 | draw.randrange(3)) for _ in range(90)})
+    want = {(min(x, y), max(x, y)) for (k, x, m), (o, y, q) in itertools.combinations(rows, 2) if k == o and x != y and m & 127 != q & 127 and 100 * abs((m >> 7) - (q >> 7)) <= 40 * ((m >> 7) + (q >> 7))}
+
+    def batches(some, n):
+        for at in range(0, len(some), n):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some[at : at + n])], names=["k", "i", "m", "s"])
+
+    for n in (1, 3, 7, 100):
+        out = [r for b in ctph._pairs(60)(batches([(*r, 0) for r in rows], n)) for r in b.to_pylist()]
+        got = {(r["_a"], r["_b"]) for r in out if r["_block"] is None}
+        hot = [r for r in out if r["_block"] is not None]
+        met = []
+        for key in sorted({r["_a"] for r in hot}):
+            own = [r for r in hot if r["_a"] == key]
+            last = max(r["_block"] for r in own)
+            for x in range(last + 1):
+                for y in range(x, last + 1):
+                    met += [(key * 10_000 + x * 100 + y, r["_b"], r["_mark"], 0 if x == y else 1 + (r["_block"] == y)) for r in own if r["_block"] in (x, y)]
+        across = [r for b in ctph._pairs_of_blocks(60)(batches(sorted(met), n)) for r in b.to_pylist()]
+        assert got | {(r["_a"], r["_b"]) for r in across} == want
+        assert bool(hot) == (block < 1024)
 
 
 def test_toxicity_held_out():
