@@ -32,15 +32,15 @@ RATE, REVISIT_AFTER = 0.01, 200_000
 
 
 def canonical(url: Column) -> Column:
-    """Host without "www." and default port, path without index page and trailing slash, parameters sorted without tracking ones.
+    """Host without "www." and default port, path without index page and trailing slash, parameters sorted without empty and tracking ones.
 
     Scheme and fragment don't count. Null without a host.
     """
     part = lambda k: F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?", k)
     host = F.regexp_replace(F.regexp_replace(F.lower(part(1)), r"^.*@|:(80|443)$", ""), r"^www\.", "")
     path = F.regexp_replace(F.regexp_replace(part(2), r"/index\.html?$", ""), "/+$", "")
-    query = F.regexp_replace(F.regexp_replace(part(3), f"(^|&)(?:{TRACKING})(=[^&]*)?(?=&|$)", ""), "^&", "")
-    query = F.array_join(F.array_sort(F.split(query, "&")), "&")
+    kept = F.filter(F.split(part(3), "&"), lambda x: (x != "") & ~x.rlike(f"^(?:{TRACKING})(=.*)?$"))
+    query = F.array_join(F.array_sort(kept), "&")
     return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
@@ -93,21 +93,26 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     """Two records for each page: its response, and a revisit some days later that found it not modified.
 
     Pages whose URLs have one canonical form are captures of one address, so a
-    revisit may find a newer response than the one it confirms.
+    revisit may find a newer response than the one it confirms. A response has
+    all validators; of revisits a third each has the entity tag, the time of last
+    modification (the day of capture) or the payload digest alone.
     """
     header = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
     digest = F.md5(F.coalesce(F.col("html"), F.lit("")))
-    base = pages.select("page_id", "url", F.floor(F.col("page_id") / RATE).alias("_at"), digest.alias("digest"), F.length("html").alias("_length"))
+    base = pages.select("page_id", "url", F.floor(F.col("page_id") / RATE).alias("_at"), digest.alias("_digest"), F.length("html").alias("_length"))
+    day, tag = F.floor(F.col("_at") / PERIOD).cast("string"), F.concat(F.lit("W/"), "_digest")
+    only = lambda k, c: F.when(F.pmod(F.col("page_id"), F.lit(3)) == k, c)
     response = F.struct(
         (F.col("page_id") * 2).alias("record_id"), F.col("_at").alias("captured"), F.lit("response").alias("kind"),
-        F.array(header("content-type", F.lit("text/html")), header("content-length", F.col("_length")), header("ETag", F.col("digest")), header("Date", F.col("_at"))).alias("headers"),
+        F.array(header("content-type", F.lit("text/html")), header("content-length", F.col("_length")), header("ETag", F.col("_digest")), header("Date", F.col("_at"))).alias("headers"),
+        tag.alias("etag"), day.alias("last_modified"), F.col("_digest").alias("digest"),
     )
     revisit = F.struct(
         (F.col("page_id") * 2 + 1).alias("record_id"), (F.col("_at") + REVISIT_AFTER).alias("captured"), F.lit("revisit").alias("kind"),
         F.array(header("content-length", F.lit(0)), header("Date", F.col("_at") + REVISIT_AFTER), header("Cache-Control", F.lit("max-age=3600"))).alias("headers"),
+        only(0, tag).alias("etag"), only(1, day).alias("last_modified"), only(2, F.col("_digest")).alias("digest"),
     )
-    each = base.select("url", "digest", F.explode(F.array(response, revisit)).alias("_r"))
-    return each.select("_r.*", "url", F.concat(F.lit("W/"), "digest").alias("etag"), F.lit(None).cast("string").alias("last_modified"), "digest")
+    return base.select("url", F.explode(F.array(response, revisit)).alias("_r")).select("_r.*", "url")
 
 
 def oracle_sql() -> str:
@@ -120,12 +125,13 @@ WITH b AS (SELECT page_id, url, floor(page_id / {RATE})::BIGINT AS at, md5(coale
 q AS (SELECT page_id, coalesce(string_agg(p, '&' ORDER BY p) FILTER (WHERE p <> '' AND NOT regexp_full_match(p, '({TRACKING})(=.*)?')), '') AS q
       FROM (SELECT page_id, unnest(params) AS p FROM b) GROUP BY page_id),
 c AS (SELECT b.*, CASE WHEN host <> '' THEN host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical_url FROM b LEFT JOIN q USING (page_id)),
-j AS (SELECT v.page_id * 2 + 1 AS record_id, v.canonical_url, v.at + {REVISIT_AFTER} AS captured, v.digest AS own, v.at AS own_at, r.page_id AS rid, r.digest AS theirs, r.n AS n
+j AS (SELECT v.page_id * 2 + 1 AS record_id, v.canonical_url, v.at + {REVISIT_AFTER} AS captured, r.page_id AS rid, r.digest AS theirs, r.n AS n,
+        CASE WHEN v.page_id % 3 = 1 THEN floor(v.at / {PERIOD}) = floor(r.at / {PERIOD}) ELSE v.digest = r.digest END AS agree
       FROM c v LEFT JOIN c r ON r.canonical_url = v.canonical_url AND r.at < v.at + {REVISIT_AFTER}
       QUALIFY row_number() OVER (PARTITION BY v.page_id ORDER BY r.at DESC NULLS LAST, r.page_id DESC) = 1)
-SELECT record_id, canonical_url, captured, rid * 2 AS refers_to, CASE WHEN rid IS NULL THEN 'missing' WHEN own = theirs THEN 'resolved' ELSE 'changed' END AS status,
-  CASE WHEN own = theirs THEN theirs END AS digest,
-  CASE WHEN own = theirs THEN 'cache-control: max-age=3600' || chr(10) || 'content-length: ' || coalesce(n::VARCHAR, '') || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || captured || chr(10) || 'etag: ' || theirs
+SELECT record_id, canonical_url, captured, rid * 2 AS refers_to, CASE WHEN rid IS NULL THEN 'missing' WHEN agree THEN 'resolved' ELSE 'changed' END AS status,
+  CASE WHEN agree THEN theirs END AS digest,
+  CASE WHEN agree THEN 'cache-control: max-age=3600' || chr(10) || 'content-length: ' || coalesce(n::VARCHAR, '') || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || captured || chr(10) || 'etag: ' || theirs
        ELSE 'cache-control: max-age=3600' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || captured END AS headers
 FROM j
 """
