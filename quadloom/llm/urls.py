@@ -1,7 +1,7 @@
 """Weighted URL vocabulary on an Aho-Corasick automaton.
 
 One pass of the automaton over a batch of lower-cased URLs finds all terms of
-the vocabulary at once. A hit counts where no letter or digit adjoins it. A
+the vocabulary at once. A hit counts where no letter, digit or mark of any script adjoins it. A
 URL is rejected for one strict term, or for ``MIN_SOFT`` distinct soft ones.
 
 Defined results: a null or empty URL has no hit and stays; repeated rows are
@@ -13,6 +13,7 @@ longer one counts too where it is bounded; further columns pass through
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import ahocorasick
@@ -40,6 +41,12 @@ def automaton(terms: tuple[str, ...]):
     return a
 
 
+@lru_cache(maxsize=4096)
+def _inner(character: str) -> bool:
+    """A letter, digit or mark of any script, beside which no term ends."""
+    return unicodedata.category(character)[0] in "LNM"
+
+
 def hits(urls: list[str | None], terms: tuple[str, ...]) -> np.ndarray:
     """Which term (column) occurs with boundaries in which URL (row)."""
     found = np.zeros((len(urls), len(terms)), bool)
@@ -51,9 +58,7 @@ def hits(urls: list[str | None], terms: tuple[str, ...]) -> np.ndarray:
     if not at:
         return found
     end, which, length = np.array(at, np.int64).T
-    raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    alnum = ((raw >= 48) & (raw <= 57)) | ((raw >= 97) & (raw <= 122))
-    good = ~alnum[end + 1] & ~alnum[end - length]
+    good = np.array([not (_inner(text[e + 1]) or _inner(text[e - n])) for e, n in zip(end.tolist(), length.tolist())])
     starts = np.cumsum([0, *(len(u) + 1 for u in low[:-1])]) + 1
     found[np.searchsorted(starts, end[good], side="right") - 1, which[good]] = True
     return found
@@ -98,7 +103,7 @@ def keep(pages: DataFrame, strict=STRICT, soft=SOFT, min_soft: int = MIN_SOFT, u
 
 
 def oracle_sql() -> str:
-    test = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){re.escape(t)}([^a-z0-9]|$)')::BIGINT"
+    test = lambda t: f"regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}\\p{{M}}]){re.escape(t)}([^\\p{{L}}\\p{{N}}\\p{{M}}]|$)')::BIGINT"
     strict = " + ".join(map(test, STRICT))
     soft, weight = " + ".join(map(test, SOFT)), " + ".join(f"{test(t)} * {w}::DOUBLE" for t, w in SOFT.items())
     return f"""
