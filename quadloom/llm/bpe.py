@@ -52,6 +52,7 @@ class Tables:
                 a, b = rank.get(t[:k]), rank.get(t[k:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = i
+        self._merges: dict[int, int] | None = None  # made where a long piece needs it
         self.bits = max(10, len(pairs).bit_length() + 2)
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, NONE, np.int32)
@@ -157,27 +158,34 @@ class Tables:
         ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.rank(np.array(ids[:-1]), np.array(ids[1:]))
-        heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
+        if self._merges is None:
+            used = self.keys >= 0
+            self._merges = dict(zip(self.keys[used].tolist(), self.values[used].tolist()))
+        merges, pop, push = self._merges.get, heapq.heappop, heapq.heappush
+        first = self.rank(np.array(ids[:-1]), np.array(ids[1:])).astype(np.int64)
+        some = np.flatnonzero(first != NONE)
+        # rank above position: the least is the leftmost of the least rank
+        heap = (first[some] << 40 | some).tolist()
         heapq.heapify(heap)
-
-        def push(i: int, j: int) -> None:
-            r = int(self.rank(np.array([ids[i]]), np.array([ids[j]]))[0])
-            if r != NONE:
-                heapq.heappush(heap, (r, i, ids[i], ids[j]))
-
+        place = (1 << 40) - 1
         while heap:
-            r, i, a, b = heapq.heappop(heap)
+            top = pop(heap)
+            r, i = top >> 40, top & place
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            if ids[i] < 0 or j >= n or merges(ids[i] << 32 | ids[j]) != r:
                 continue
             ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                push(i, after[i])
-            if before[i] >= 0:
-                push(before[i], i)
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                m = merges(r << 32 | ids[k])
+                if m is not None:
+                    push(heap, m << 40 | i)
+            k = before[i]
+            if k >= 0:
+                m = merges(ids[k] << 32 | r)
+                if m is not None:
+                    push(heap, m << 40 | k)
         return np.array([x for x in ids if x >= 0], np.int32)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
