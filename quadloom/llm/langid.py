@@ -28,11 +28,10 @@ Without any document of known language no language can be told: spans are empty.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -277,8 +276,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str =
     places = F.sequence(F.lit(1), F.size("_words"), F.lit(SAMPLE_WORDS))
     cut = some.select("_lang", "_h", "_words", F.explode(places).alias("_at"))
     cut = cut.select("_lang", F.xxhash64("_h", "_at").alias("_k"), F.array_join(F.slice("_words", F.col("_at"), F.lit(SAMPLE_WORDS)), " ").alias("_text"))
-    parts = [cut.where(F.col("_lang") == name).orderBy("_k", "_text").limit(per_language) for name in sorted(counts)]
-    rows = reduce(DataFrame.unionByName, parts).toPandas().sort_values(["_lang", "_k", "_text"])
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_k", "_text"))
+    rows = cut.withColumn("_place", place).where(F.col("_place") <= per_language).toPandas().sort_values(["_lang", "_place"])
     return train(rows["_text"].tolist(), rows["_lang"].tolist())
 
 
