@@ -10,13 +10,14 @@ until it is at its capacity of (1 + ``SLACK``) times the mean. Half of the
 documents, another half each round, may move, or pairs would change places for
 ever. Rounds are joins and aggregations of (id, shard) rows; texts are read once.
 
-Admission needs no ranking of applicants: they are counted by (shard, gain,
-hash group), at most shards * ``LEVELS`` * ``GROUPS`` rows whatever the
-corpus, and whole groups are let in while they fit, so no shard ever exceeds
-its capacity.
+Admission needs no ranking of applicants: they are counted by (shard, gain
+class, hash group), and whole groups are let in while they fit, so no shard ever
+exceeds its capacity. Gains below 64 are classes of their own; above, a class is
+at most 1/32 wide, so there are under 2,000 classes whatever the gains.
 
 Defined results: null ids have no shard and are left out; rows that repeat an
-id are one document; null and empty texts and those without a shared line have
+id are one document (with the lines of all of them); ids are of any type that
+has an order; null and empty texts and those without a shared line have
 no links and stay where they begin; of equally good shards the present one,
 then the least counts; further columns are left behind.
 """
@@ -26,19 +27,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import Scratch
+from quadloom.llm.common import Scratch, resting_on
 
 SHARDS, ROUNDS, SLACK = 16, 6, 0.05
 #: Characters from which on a line links documents.
 LINE = 20
-SALTS, LEVELS, GROUPS, BUCKETS = 64, 16, 256, 4096
+SALTS, GROUPS, BUCKETS, PARTS = 4096, 256, 1024, 128
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_a, _b, _w), _a < _b: pairs of star and member, with the number of lines that they share so."""
     lines = F.array_distinct(F.transform(F.split(F.lower(F.col(text_col).cast("string")), "\n"), lambda x: F.trim(x)))
     keys = F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= LINE), lambda x: F.xxhash64(x)))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.explode(keys).alias("_key"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(keys).alias("_key"))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
     head = F.min("_id").over(Window.partitionBy("_key", "_salt"))
     rows = rows.withColumn("_head", head)
@@ -47,13 +48,20 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return members.unionByName(heads).groupBy("_a", "_b").agg(F.count("*").alias("_w"))
 
 
+def gain_class(gain):
+    """Rises with ``gain``, exactly below 64 and in steps of at most 1/32 above."""
+    shift = F.greatest(F.length(F.bin(gain)) - 6, F.lit(0))
+    return (shift * 32 + F.floor(gain / F.pow(F.lit(2.0), shift))).cast("bigint")
+
+
 def first_shards(ids: DataFrame, edges: DataFrame, shards: int) -> DataFrame:
     """(_id, _shard) of even sizes, members of a star next to each other."""
     star = edges.groupBy(F.col("_b").alias("_id")).agg(F.min("_a").alias("_star"))
+    # a bucket of stars and, within it, a part of the ids: a star of any size spreads over PARTS windows
     placed = ids.join(star, "_id", "left").select("_id", F.xxhash64(F.coalesce("_star", "_id")).alias("_h"))
-    placed = placed.withColumn("_bucket", F.shiftrightunsigned("_h", 52))
+    placed = placed.select("_id", "_h", (F.pmod("_h", F.lit(BUCKETS)) * PARTS + F.pmod(F.xxhash64("_id"), F.lit(PARTS))).alias("_bucket"))
     sizes = placed.groupBy("_bucket").count()
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows
+    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS * PARTS rows
     starts = sizes.select("_bucket", F.coalesce(F.sum("count").over(running), F.lit(0)).alias("_before"), F.sum("count").over(Window.partitionBy()).alias("_all"))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", "_id")) - 1
     ranked = placed.withColumn("_rank", rank).join(starts, "_bucket")
@@ -72,7 +80,7 @@ def propagate(ids: DataFrame, edges: DataFrame, scratch: Scratch, shards: int =
         best = mine.groupBy(F.col("_a").alias("_id")).agg(
             F.max(F.struct("_w", (F.col("_shard") == F.col("_now")).alias("_stay"), (-F.col("_shard")).alias("_s"))).alias("_m"), F.sum(F.when(F.col("_shard") == F.col("_now"), F.col("_w")).otherwise(0)).alias("_here")
         )
-        wish = best.where("_m._w > _here").select("_id", (-F.col("_m._s")).alias("_to"), F.least(F.col("_m._w") - F.col("_here"), F.lit(LEVELS)).alias("_gain"), F.pmod(F.xxhash64("_id"), F.lit(GROUPS)).alias("_g"))
+        wish = best.where("_m._w > _here").select("_id", (-F.col("_m._s")).alias("_to"), gain_class(F.col("_m._w") - F.col("_here")).alias("_gain"), F.pmod(F.xxhash64("_id"), F.lit(GROUPS)).alias("_g"))
         wish = scratch.table(wish)
         room = state.groupBy(F.col("_shard").alias("_to")).count().select("_to", (F.lit(capacity) - F.col("count")).alias("_room"))
         counted = wish.groupBy("_to", "_gain", "_g").count()
@@ -90,9 +98,12 @@ def shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: f
     """(id, shard, links, cut_links) of every document: its shard, its links, and those of them that lead into other shards."""
     scratch = Scratch(docs.sparkSession)
     edges = scratch.table(links(docs, id_col, text_col))
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id")).distinct()
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
     state, both = propagate(ids, edges, scratch, shards, rounds, slack)
     ends = both.join(state.select(F.col("_id").alias("_a"), F.col("_shard").alias("_sa")), "_a").join(state.select(F.col("_id").alias("_b"), F.col("_shard").alias("_sb")), "_b")
     cut = ends.groupBy(F.col("_a").alias("_id")).agg(F.sum("_w").alias("_links"), F.sum(F.when(F.col("_sa") != F.col("_sb"), F.col("_w")).otherwise(0)).alias("_cut"))
     zero = F.lit(0).cast("bigint")
-    return state.join(cut, "_id", "left").select(F.col("_id").alias(id_col), F.col("_shard").alias("shard"), F.coalesce("_links", zero).alias("links"), F.coalesce("_cut", zero).alias("cut_links"))
+    out = state.join(cut, "_id", "left").select("_id", F.col("_shard").alias("shard"), F.coalesce("_links", zero).alias("links"), F.coalesce("_cut", zero).alias("cut_links"))
+    out = scratch.table(out)
+    scratch.close(out)
+    return resting_on(out.withColumnRenamed("_id", id_col), out)
