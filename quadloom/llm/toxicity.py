@@ -8,12 +8,16 @@ Nyström space of landmark strings. Its decision is linear in the kernel, so
 all landmarks fold into one weight per subsequence: a text is scored exactly
 by ``C(SPAN - 1, ORDER - 1)`` table look-ups a character, whatever their number.
 
-A sentence counts by its worst window of ``WINDOW`` characters and a document
-by its worst sentence. Labels are of documents: which sentence of a toxic one
-carries the label is learned as multiple instances (the sentence and window
-that scores highest is the witness, chosen anew each round, and every window
-of a clean document is a negative). White space is a character like others, so that
-where a word begins and ends counts too.
+Texts are cut into sentences, for training and for scoring, and no window
+crosses the end of one. A sentence counts by its worst window of ``WINDOW``
+characters and a document by its worst sentence. Labels are of documents: which
+sentence of a toxic one carries the label is learned as multiple instances (the
+window that scores highest stands for its sentence; the worst sentence of a
+toxic document is its witness, with all others clearly above the border, chosen
+anew each round). Of a clean document the worst sentence, all others on the wrong
+side and one window anywhere are negatives in each round. No number is capped.
+White space is a character like others, so that where a word begins and ends
+counts too.
 
 Text is folded first: case, accents, digits that stand for letters,
 punctuation inside words, and spaces that set single letters apart.
@@ -43,27 +47,43 @@ LANDMARKS, COST = 256, 8.0
 #: Labelled documents of either class that training reads at most.
 SAMPLE_PER_CLASS = 1500
 NOTHING = -1e9
-#: Windows that a toxic document gives to training at most.
-PEAKS = 6
 
-#: 1..26 letters, 27 another letter, 28 white space, 0 what is dropped.
+#: 1..26 letters, 27 a Latin letter without base letter, 28 white space, 0 what is dropped. Of other letters the last byte tells, folded to 1..26.
 _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[[9, 10, 11, 12, 13, 32]] = 28
 for _digit, _letter in zip("013457", "oieast"):
     _CODE[ord(_digit)] = ord(_letter) - 96
-_CODE[0xC4:0xF5] = 27
+_LAST = np.zeros(256, np.uint8)
+_LAST[0x80:0xC0] = 1 + np.arange(64) % 26
 #: Continuation of C3, the Latin-1 letters, to base letters.
 _LATIN = np.zeros(256, np.uint8)
 for _base, _bytes in {"a": range(0xA0, 0xA7), "c": [0xA7], "e": range(0xA8, 0xAC), "i": range(0xAC, 0xB0), "n": [0xB1], "o": [*range(0xB2, 0xB7), 0xB8], "u": range(0xB9, 0xBD), "y": [0xBD, 0xBF]}.items():
     _LATIN[list(_bytes)] = ord(_base) - 96
 _LATIN[[0x9F, 0xB0, 0xBE]] = 27
-_END = np.zeros(256, bool)
+_END, _SPACE = np.zeros(256, bool), np.zeros(256, bool)
 _END[[10, 33, 46, 63]] = True
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the characters that count, their offsets by text, and which of them end a sentence.
+def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets of all sentences, and offsets into them by text; an empty text has none.
+
+    A line break, and a full stop, exclamation or question mark before white space, ends a
+    sentence, unless a single letter is before it, as in initials and in words set letter by letter.
+    """
+    n = len(data)
+    at = np.flatnonzero(_END[data])
+    at = at[at + 1 < n]
+    at = at[(data[at] == 10) | _SPACE[data[at + 1]]]
+    apart = _SPACE | _END
+    lone = ~apart[data[np.maximum(at - 1, 0)]] & ((at < 2) | apart[data[np.maximum(at - 2, 0)]])
+    bounds = np.unique(np.concatenate([offsets, at[~lone] + 1]))
+    return bounds, np.searchsorted(bounds, offsets)
+
+
+def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the characters that count, and their offsets by text (or sentence, as ``offsets`` go).
 
     Every text gets one white space on either side and zeros, of no weight, up to ``BEHIND``,
     so that no window reaches into the next one.
@@ -73,6 +93,9 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(low) > 1:
         after = np.flatnonzero(low[:-1] == 0xC3) + 1
         code[after] = _LATIN[low[after]]
+        for lead, last, size in ((0xC4, 0xE0, 1), (0xE0, 0xF0, 2), (0xF0, 0xF5, 3)):
+            after = np.flatnonzero((low[: max(0, len(low) - size)] >= lead) & (low[: max(0, len(low) - size)] < last)) + size
+            code[after] = _LAST[low[after]]
     n = len(offsets) - 1
     at = np.flatnonzero(code)
     by = tx.per_document(at, offsets)
@@ -80,13 +103,7 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     to = by + np.arange(n + 1) * pads
     out = np.zeros(to[-1], np.uint8)
     out[to[:-1]] = out[to[1:] - BEHIND] = 28
-    place = np.arange(len(at)) + np.repeat(np.arange(n) * pads + 1, np.diff(by))
-    out[place] = code[at]
-    ends = np.zeros(len(out), bool)
-    stop = np.flatnonzero(_END[data])
-    if len(at) and len(stop):
-        stop_at = np.minimum(np.searchsorted(at, stop), len(at) - 1)
-        ends[place[stop_at]] = True
+    out[np.arange(len(at)) + np.repeat(np.arange(n) * pads + 1, np.diff(by))] = code[at]
     space = out == 28
     if len(out) > 4:
         lone = np.zeros(len(out), bool)  # a space with single letters on both sides
@@ -101,10 +118,8 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         keep = ~drop
         before = np.zeros(len(out) + 1, np.int64)
         np.cumsum(keep, out=before[1:])
-        carried = np.flatnonzero(ends & drop)
-        ends[np.minimum(carried + 1, len(out) - 1)] = True
-        return out[keep], before[to], ends[keep]
-    return out, to, ends
+        return out[keep], before[to]
+    return out, to
 
 
 def _offsets_within() -> list[tuple[int, ...]]:
@@ -145,23 +160,26 @@ class Model:
                     out += part
         return out
 
-    def windows(self, codes: np.ndarray) -> np.ndarray:
-        """Decision value of the window that begins at each character."""
+    def windows(self, codes: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Decision value of the window that begins at each character of the sentences; ``NOTHING`` in their padding."""
         s = self.starts(codes)
         total = np.concatenate([[0.0], np.cumsum(s, dtype=np.float64), np.zeros(WINDOW)])
         total[len(s) + 1 :] = total[len(s)]
-        return (total[WINDOW : WINDOW + len(s)] - total[: len(s)] + self.bias).astype(np.float32)
+        w = np.full(len(codes), NOTHING, np.float32)
+        w[: len(s)] = total[WINDOW : WINDOW + len(s)] - total[: len(s)] + self.bias
+        w[(to[1:, None] - 1 - np.arange(BEHIND)).ravel()] = NOTHING
+        return w
 
-    def worst(self, codes: np.ndarray, to: np.ndarray) -> np.ndarray:
-        """Decision value of each text's worst window."""
-        w = self.windows(codes)
-        w = np.append(w, np.full(len(codes) - len(w), NOTHING, np.float32))
-        w[(to[1:, None] - 1 - np.arange(BEHIND)).ravel()] = NOTHING  # no window begins in the padding
-        return tx.ragged_reduce(np.maximum, w, to, np.float32(NOTHING)).astype(float)
+    def worst(self, codes: np.ndarray, to: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Decision value of each text's worst sentence, which is that of its worst window."""
+        each = tx.ragged_reduce(np.maximum, self.windows(codes, to), to, np.float32(NOTHING))
+        return tx.ragged_reduce(np.maximum, each, by, np.float32(NOTHING)).astype(float)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        codes, to, _ = fold(data, offsets)
-        return np.where(np.diff(offsets) > 0, self.worst(codes, to), NOTHING)
+        if not len(data):
+            return np.full(len(offsets) - 1, NOTHING)
+        bounds, by = sentences(data, offsets)
+        return self.worst(*fold(data, bounds), by)
 
 
 def _rows(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,8 +250,11 @@ def _gapped(strings: list[np.ndarray]) -> list[np.ndarray]:
     return [np.concatenate([s[:i], [c], s[i:-1]]).astype(np.uint8) for s, i, c in zip(strings, where, what)]
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, landmarks: int = LANDMARKS, cost: float = COST) -> Model | None:
-    """A model from labelled documents; three of four of either class train, the fourth sets the threshold."""
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, landmarks: int = LANDMARKS, cost: float = COST, floor: float = 0.0) -> Model | None:
+    """A model from labelled documents; three of four of either class train, the fourth sets the threshold.
+
+    ``floor``: sentences of clean documents that score more are negatives, besides the worst one of each document.
+    """
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return None
@@ -244,34 +265,36 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, landmarks: int =
     chunks = []
     for some in np.array_split(np.arange(len(texts)), len(texts) // 200 + 1):
         raw = [texts[i].encode("utf-8", "replace") for i in some]
-        codes, to, _ = fold(np.frombuffer(b"".join(raw), np.uint8), tx.counts_to_offsets(np.array([len(r) for r in raw])))
-        chunks.append((some, codes, to))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        bounds, by = sentences(data, tx.counts_to_offsets(np.array([len(r) for r in raw])))
+        chunks.append((some, *fold(data, bounds), by))
     model = Model(_first_guess(chunks, toxic, held), 0.0, 0.5)
     negatives: set[bytes] = set()
     for _ in range(rounds):
         pos: list[np.ndarray] = []
-        for some, codes, to in chunks:
-            value = model.windows(codes)
+        for some, codes, to, by in chunks:
+            value = model.windows(codes, to)
+            peak = np.array([a + int(value[a:b].argmax()) for a, b in zip(to, to[1:])])
             for k, d in enumerate(some):
-                a, b = to[k], to[k + 1] - BEHIND
+                a, b = to[by[k]], to[by[k + 1]]
                 if held[d] or b <= a:
                     continue
-                v, at = value[a:b].copy(), []
-                for peak in range(PEAKS if toxic[d] else 2):  # without overlap; of a toxic document the best and those above the margin
-                    best = int(v.argmax())
-                    if toxic[d] and v[best] <= (0.3 if peak else 0):
-                        break
-                    at.append(a + best)
-                    v[max(0, best - WINDOW) : best + WINDOW + (SPAN if toxic[d] else 0)] = NOTHING
+                # each sentence's worst window: of a toxic document those clearly above the border, and the worst of all
+                best = peak[by[k] : by[k + 1]]
+                first = best[value[best].argmax()]
+                if toxic[d]:
+                    at = best[(value[best] > 0.3) | (best == first) & (value[first] > 0)]
+                else:
+                    at = best[(value[best] > floor) | (best == first)]
                 if toxic[d]:
                     pos += _strings(codes, at)
                 else:
-                    negatives |= {x.tobytes() for x in _strings(codes, [*at, a + (int(d) * 7919) % len(v)])}
+                    negatives |= {x.tobytes() for x in _strings(codes, [*at, a + (int(d) * 7919) % (b - a - BEHIND)])}
         if not pos:
             return None
         pos += _gapped(pos)
         model = _fit(pos, [np.frombuffer(x, np.uint8) for x in sorted(negatives)], landmarks, cost)
-    value = np.concatenate([model.worst(codes, to) for _, codes, to in chunks])
+    value = np.concatenate([model.worst(codes, to, by) for _, codes, to, by in chunks])
     model.threshold = _threshold(value[held], toxic[held])
     return model
 
@@ -280,14 +303,14 @@ def _first_guess(chunks, toxic: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Weights of runs of four letters by how much more often toxic documents have them."""
     size = 1 << (5 * ORDER)
     tox, clean = np.zeros(size), np.zeros(size)
-    for some, codes, to in chunks:
+    for some, codes, to, by in chunks:
         wide = codes.astype(np.int32)
         n = max(0, len(wide) - ORDER + 1)
         plain, letters = np.zeros(n, np.int64), np.ones(n, bool)
         for k in range(ORDER):
             plain = plain << 5 | wide[k : k + n]
             letters &= (wide[k : k + n] > 0) & (wide[k : k + n] < 28)
-        doc = np.repeat(some, np.diff(to))[:n]
+        doc = np.repeat(some, np.diff(to[by]))[:n]
         letters &= ~held[doc]
         pair = np.unique(doc[letters] << 20 | plain[letters])
         of_toxic = toxic[pair >> 20]
