@@ -12,10 +12,10 @@ Texts are cut into sentences, for training and for scoring, and no window
 crosses the end of one. A sentence counts by its worst window of ``WINDOW``
 characters and a document by its worst sentence. Labels are of documents: which
 sentence of a toxic one carries the label is learned as multiple instances (the
-window that scores highest stands for its sentence; the worst sentence of a
-toxic document is its witness, with all others clearly above the border, chosen
-anew each round). Of a clean document the worst sentence, all others on the wrong
-side and one window anywhere are negatives in each round. No number is capped.
+window that scores highest stands for its sentence; the witnesses of a toxic
+document are its worst sentence and all that score half as much, chosen anew each
+round). Of a clean document the worst sentence, all others on the wrong side of
+the border and one window anywhere are negatives. No number of them is capped.
 White space is a character like others, so that where a word begins and ends
 counts too.
 
@@ -270,7 +270,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, landmarks: int =
         chunks.append((some, *fold(data, bounds), by))
     model = Model(_first_guess(chunks, toxic, held), 0.0, 0.5)
     negatives: set[bytes] = set()
-    for _ in range(rounds):
+    for trained in range(rounds):  # the first guess knows weights but no border
         pos: list[np.ndarray] = []
         for some, codes, to, by in chunks:
             value = model.windows(codes, to)
@@ -279,13 +279,13 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 3, landmarks: int =
                 a, b = to[by[k]], to[by[k + 1]]
                 if held[d] or b <= a:
                     continue
-                # each sentence's worst window: of a toxic document those clearly above the border, and the worst of all
+                # a sentence stands by its worst window
                 best = peak[by[k] : by[k + 1]]
                 first = best[value[best].argmax()]
                 if toxic[d]:
-                    at = best[(value[best] > 0.3) | (best == first) & (value[first] > 0)]
+                    at = best[(value[best] > 0) & (value[best] >= 0.5 * value[first])]
                 else:
-                    at = best[(value[best] > floor) | (best == first)]
+                    at = best[(value[best] > (floor if trained else np.inf)) | (best == first)]
                 if toxic[d]:
                     pos += _strings(codes, at)
                 else:
