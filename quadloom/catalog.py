@@ -238,11 +238,10 @@ def intersect_subjects(spark, sf_dir):
     return a.intersect(ask(spark, sf_dir, "SELECT ?n { ?s a c:Supplier ; p:inNation ?n }"))
 
 
-@query("SELECT 'urn:nation:' || n AS n FROM (SELECT n_nationkey AS n FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20)")
+@query("SELECT 'urn:nation:' || n AS n FROM (SELECT n_nationkey AS n FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE CAST(s_acctbal AS DECIMAL(18,2)) > 9000)")
 def minus_subjects(spark, sf_dir):
     a = ask(spark, sf_dir, "SELECT ?n { ?n a c:Nation }")
-    near = scan.scan(store(spark, sf_dir), p=P + "inNation").where(F.col("s").isin([f"urn:supplier:{k}" for k in range(20)]))
-    return a.exceptAll(near.select(F.col("o").alias("n")).distinct())
+    return a.exceptAll(ask(spark, sf_dir, "SELECT DISTINCT ?n { ?s a c:Supplier ; p:inNation ?n ; p:acctbal ?b FILTER(?b > 9000) }"))
 
 
 @query("SELECT count(*) AS n FROM (SELECT user_id FROM events WHERE event_type = 'view' INTERSECT SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase')")
@@ -461,6 +460,27 @@ def owl_transitive(spark, sf_dir):
     return _reasoned(spark, sf_dir, ["partOf"]).facts.where(F.col("p") == P + "partOf").select("s", "o")
 
 
+@query("SELECT DISTINCT 'urn:customer:' || x AS s, 'urn:customer:' || y AS o FROM (SELECT c_custkey AS x, (c_custkey * c_custkey) % 100 AS y FROM customer UNION SELECT (c_custkey * c_custkey) % 100, c_custkey FROM customer)")
+def owl_symmetric(spark, sf_dir):
+    return _reasoned(spark, sf_dir, ["knows"]).facts.where(F.col("p") == P + "knows").select("s", "o")
+
+
+@query("SELECT 'urn:customer:' || o_custkey AS s, 'urn:order:' || o_orderkey AS o FROM orders")
+def owl_inverse(spark, sf_dir):
+    return _reasoned(spark, sf_dir, ["placedBy"]).inferred().where(F.col("p") == P + "hasOrder").select("s", "o")
+
+
+@query("SELECT 'urn:customer:' || c_custkey AS s, 'urn:nation:' || c_nationkey AS o FROM customer UNION SELECT 'urn:supplier:' || s_suppkey, 'urn:nation:' || s_nationkey FROM supplier UNION SELECT 'urn:nation:' || n_nationkey, 'urn:region:' || n_regionkey FROM nation")
+def owl_subproperty(spark, sf_dir):
+    return _reasoned(spark, sf_dir, ["inNation", "inRegion"]).inferred().where(F.col("p") == P + "within").select("s", "o")
+
+
+@query("SELECT 'urn:customer:' || c_custkey AS s, 'urn:region:' || n_regionkey AS type FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'urn:customer:' || c_custkey, 'urn:c:World' FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def owl_subclass(spark, sf_dir):
+    r = _reasoned(spark, sf_dir, [m.TYPE])
+    return r.inferred().where((F.col("p") == m.TYPE) & F.col("s").startswith("urn:customer:")).select("s", F.col("o").alias("type"))
+
+
 # secondary indexes
 
 _TOKENS = "list_distinct(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9*_]+'), lambda x: x <> ''))"
@@ -601,22 +621,57 @@ def datetime_normalise(spark, sf_dir):
     return o.select("o_orderkey", times.normalise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".0004567+05:30"))).alias("t"))
 
 
-@query("SELECT v AS value, s AS shard FROM (VALUES ('abc', '19700101_4'), ('', '19700101_0'), ('urn:customer:1', '19700101_42'), ('Zürich', '19700101_12')) t(v, s)")
+@query(
+    """WITH v AS (SELECT c_custkey, 'urn:customer:' || c_custkey || ' ' || c_name AS value FROM customer),
+h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(value, ''), lambda x: ord(x)::BIGINT)), lambda a, b: (a * 31 + b) % 4294967296) AS h FROM v)
+SELECT c_custkey, '19700101_' || abs((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 50) AS shard FROM h"""
+)
 def shard_value(spark, sf_dir):
-    df = spark.createDataFrame([("abc",), ("",), ("urn:customer:1",), ("Zürich",)], "value string")
-    return df.select("value", values.shard(F.lit(0).cast("bigint"), F.col("value")).alias("shard"))
+    c = Star(spark, sf_dir).table("customer")
+    return c.select("c_custkey", values.shard(F.lit(0).cast("bigint"), F.concat(F.lit("urn:customer:"), "c_custkey", F.lit(" "), "c_name")).alias("shard"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, (o_orderkey % 50)::VARCHAR AS n FROM orders")
+def shard_split(spark, sf_dir):
+    cut = values.split_shard(F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"), F.col("o_orderkey") % 50))
+    return Star(spark, sf_dir).table("orders").select("o_orderkey", cut.alias("c")).select("o_orderkey", "c.day", "c.n")
+
+
+@query("SELECT o_orderkey, epoch_ms(date_trunc('day', o_orderdate)) AS day, epoch_ms(o_orderdate) + 7 AS at FROM orders")
+def date_to_millis(spark, sf_dir):
+    day, at = F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".0071Z"))
+    return Star(spark, sf_dir).table("orders").select("o_orderkey", times.date_millis(day).alias("day"), times.date_millis(at).alias("at"))
+
+
+@query("SELECT o_orderkey, epoch_ms(o_orderdate) + ((365 + 2 * 31 + 3) * 86400 + 4 * 3600) * 1000::BIGINT AS at FROM orders")
+def calendar_offset(spark, sf_dir):
+    return Star(spark, sf_dir).table("orders").select("o_orderkey", values.add_calendar(millis("o_orderdate"), years=1, months=2, days=3, hours=4).alias("at"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN (p_size * 5 // 2)::VARCHAR || '.0' ELSE (p_size * 2.5)::DECIMAL(18,1)::VARCHAR END AS size FROM part")
+def record_convert(spark, sf_dir):
+    return Star(spark, sf_dir).table("part").select("p_partkey", records.convert(F.col("p_size").cast("string"), "conversion.size * 2.5").alias("size"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' AND o_orderstatus <> 'F'")
+def date_validity(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    end = F.when(F.col("o_orderstatus") == "F", "1996-06-01T00:00:00.000Z")
+    fields = F.create_map(F.lit("date-start"), day, F.lit("date-end"), end, F.lit("version"), F.lit("1"))
+    return Star(spark, sf_dir).table("orders").where(records.date_valid(fields, "1997-01-01T00:00:00.000Z")).select("o_orderkey")
 
 
 @query(
     """WITH q AS (SELECT s_suppkey, radians(((s_suppkey * 37) % 360) - 180) AS a, radians(((s_suppkey * 17) % 180) - 90) AS b, radians(s_suppkey % 360) AS t, 250.0 / 6371.0 AS d FROM supplier),
 e AS (SELECT *, asin(sin(b) * cos(d) + cos(b) * sin(d) * cos(t)) AS y FROM q)
-SELECT s_suppkey, round(degrees(y), 6) AS lat FROM e"""
+SELECT s_suppkey, round(degrees(y), 6) AS lat, round(degrees(x - 2 * pi() * floor((x + pi()) / (2 * pi()))), 6) AS lon
+FROM (SELECT *, a + atan2(sin(t) * sin(d) * cos(b), cos(d) - sin(b) * sin(y)) AS x FROM e)"""
 )
 def great_circle(spark, sf_dir):
     s = Star(spark, sf_dir).table("supplier")
     lon, lat = F.expr("cast((s_suppkey * 37) % 360 - 180 as double)"), F.expr("cast((s_suppkey * 17) % 180 - 90 as double)")
     end = values.end_location(lon, lat, F.lit(250.0), (F.col("s_suppkey") % 360).cast("double"))
-    return s.select("s_suppkey", F.round(end["lat"], 6).alias("lat"))
+    return s.select("s_suppkey", F.round(end["lat"], 6).alias("lat"), F.round(end["lon"], 6).alias("lon"))
 
 
 def _fields():
@@ -657,11 +712,11 @@ def record_parse(spark, sf_dir):
 
 
 def _parent_child(spark, sf_dir):
-    """Statements about orders in two stores: keys below 3/4 in the parent, above 1/4 in the child, the child's with other labels."""
+    """Statements about orders in two stores: those with status O or F in the parent, O or P in the child, the child's with other labels."""
     o = Star(spark, sf_dir).table("orders")
     row = lambda vis: [F.concat(F.lit("urn:order:"), "o_orderkey").alias("s"), F.lit(P + "status").alias("p"), F.col("o_orderstatus").alias("o"), vis.alias("vis"), millis("o_orderdate").alias("ts")]
-    parent = o.where("o_orderkey % 4 <> 3").select(*row(F.when(F.col("o_orderkey") % 2 == 0, "p").otherwise("")))
-    child = o.where("o_orderkey % 4 <> 0").select(*row(F.when(F.col("o_orderkey") % 3 == 0, "c").otherwise("")))
+    parent = o.where("o_orderstatus <> 'P'").select(*row(F.when(F.col("o_orderkey") % 2 == 0, "p").otherwise("")))
+    child = o.where("o_orderstatus <> 'F'").select(*row(F.when(F.col("o_orderkey") % 3 == 0, "c").otherwise("")))
     return m.conform(parent), m.conform(child)
 
 
@@ -670,17 +725,17 @@ _START = 883_612_800_000  # 1998-01-01
 
 @query(
     f"""SELECT 'urn:order:' || o_orderkey AS s,
-CASE WHEN o_orderkey % 4 IN (1, 2) THEN CASE WHEN o_orderkey % 3 <> 0 THEN 'kept' ELSE 'relabelled' END WHEN o_orderkey % 4 = 0 THEN CASE WHEN epoch_ms(o_orderdate) < {_START} THEN 'deleted' ELSE 'kept' END
+CASE WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 3 <> 0 THEN 'kept' ELSE 'relabelled' END WHEN o_orderstatus = 'F' THEN CASE WHEN epoch_ms(o_orderdate) < {_START} THEN 'deleted' ELSE 'kept' END
 ELSE CASE WHEN epoch_ms(o_orderdate) >= {_START} THEN 'added' ELSE 'ignored' END END AS action,
-CASE WHEN o_orderkey % 4 IN (1, 2) THEN CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN '(p)|(c)' WHEN o_orderkey % 3 = 0 THEN 'c' WHEN o_orderkey % 2 = 0 THEN 'p' ELSE '' END
-WHEN o_orderkey % 4 = 0 THEN 'p' WHEN o_orderkey % 3 = 0 THEN 'c' ELSE '' END AS label FROM orders"""
+CASE WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN '(p)|(c)' WHEN o_orderkey % 3 = 0 THEN 'c' WHEN o_orderkey % 2 = 0 THEN 'p' ELSE '' END
+WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'p' ELSE '' END WHEN o_orderkey % 3 = 0 THEN 'c' ELSE '' END AS label FROM orders"""
 )
 def merge_stores(spark, sf_dir):
     parent, child = _parent_child(spark, sf_dir)
     return merge.merge(parent, child, _START).rows.select("s", "action", F.col("vis").alias("label"))
 
 
-@query(f"SELECT 'urn:order:' || o_orderkey AS s FROM orders WHERE o_orderkey % 4 <> 3 AND epoch_ms(o_orderdate) >= {_START}")
+@query(f"SELECT 'urn:order:' || o_orderkey AS s FROM orders WHERE o_orderstatus <> 'P' AND epoch_ms(o_orderdate) >= {_START}")
 def copy_since(spark, sf_dir):
     return merge.copy_since(_parent_child(spark, sf_dir)[0], _START).select("s")
 
@@ -701,6 +756,12 @@ def delete_by_pattern(spark, sf_dir):
     return stay.where(F.col("s").startswith("urn:event:")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT 'urn:customer:' || c_custkey AS s, c_mktsegment AS o FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def delete_exact(spark, sf_dir):
+    rows = store(spark, sf_dir).select(P + "segment")
+    return scan.delete_exact(rows, rows.where("o = 'BUILDING'")).select("s", "o")
+
+
 @query("SELECT 'urn:event:' || event_id AS s, 'urn:g:' || event_type AS g, 'urn:user:' || user_id AS o FROM events")
 def rdf_round_trip(spark, sf_dir):
     lines = rdfio.to_lines(store(spark, sf_dir).select(P + "user"))
@@ -763,11 +824,11 @@ def events_windows(spark, sf_dir):
 @query(
     """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
-SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k"""
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, k"""
 )
 def events_sessions(spark, sf_dir):
     from quadloom.streaming.views import sessions
 
     df = sessions(Star(spark, sf_dir).table("events"), "12 hours")
-    return df.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return df.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 

@@ -85,17 +85,23 @@ def rfc_key(c: Column) -> Column:
     return F.when(ok, F.date_format(F.timestamp_seconds(F.unix_seconds(local) - shift), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
+def _bound(c: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used: generated code would repeat it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def interval(c: Column) -> Column:
     """STRUCT<begin, end> of the keys of ``[a,b]``; null where it isn't one or ends before it begins."""
-    inside = F.regexp_extract(c, r"^\[([^,\]]*),([^\]]*)\]$", 1), F.regexp_extract(c, r"^\[([^,\]]*),([^\]]*)\]$", 2)
-    a, b = rfc_key(inside[0]), rfc_key(inside[1])
-    return F.when(a.isNotNull() & b.isNotNull() & (a <= b), F.struct(a.alias("begin"), b.alias("end")))
+    part = lambda k: F.regexp_extract(c, r"^\[([^,\]]*),([^\]]*)\]$", k)
+    keys = F.transform(F.array(part(1), part(2)), rfc_key)
+    return _bound(keys, lambda k: F.when(k[0].isNotNull() & k[1].isNotNull() & (k[0] <= k[1]), F.struct(k[0].alias("begin"), k[1].alias("end"))))
 
 
 def marker(c: Column, end_of_day: bool = False) -> Column:
     """Key of an instant or a date; a date as an end is its last second."""
-    date = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).isNotNull(), F.concat(c, F.lit("T23:59:59Z" if end_of_day else "T00:00:00Z")))
-    return F.coalesce(rfc_key(c), date)
+    late = F.lit("T23:59:59Z" if end_of_day else "T00:00:00Z")
+    date = lambda x: F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).isNotNull(), F.concat(x, late))
+    return _bound(c, lambda x: F.coalesce(rfc_key(x), date(x)))
 
 
 def date_millis(c: Column) -> Column:

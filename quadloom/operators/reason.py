@@ -159,10 +159,11 @@ class Result:
     def inferred(self) -> DataFrame:
         return self.facts.where("iteration > 0")
 
-    def explain(self, s: str, p: str, o: str, depth: int = 20) -> list[tuple[str, str]]:
-        """(fact, rule) from a fact down to what was given; each premise is looked up when it is met."""
+    def explain(self, s: str, p: str, o: str, depth: int | None = None) -> list[tuple[str, str]]:
+        """(fact, rule) from a fact down to what was given, or for ``depth`` steps; each premise is looked up when it is met."""
         out, todo, seen = [], [f"{s} {p} {o}"], set()
-        for _ in range(depth):
+        while depth is None or depth > 0:
+            depth = depth and depth - 1
             todo = [k for k in todo if k not in seen]
             if not todo:
                 break

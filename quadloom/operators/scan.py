@@ -94,11 +94,10 @@ def restrict(df: DataFrame, options: Options) -> DataFrame:
 def scan(store: QuadStore, s: str | None = None, p: str | None = None, o: Term | str | None = None, g: str | None = None, qual: str | None = None, options: Options = Options()) -> DataFrame:
     """Statements that match. The default of ``now`` is taken over the whole store, as far as it is visible."""
     if options.ttl is not None and options.now is None:
-        all_rows = store.quads if options.auths is None else labels.visible(store.quads, options.auths)
-        now = all_rows.agg(F.max("ts")).first()[0]
+        now = store.latest() if options.auths is None else store.latest(lambda df: labels.visible(df, options.auths))
         options = replace(options, now=0 if now is None else now)
     o_lex = o.lex if isinstance(o, Term) else o
-    df = store.select(p, o_lex, g).where(matches(s, p, o, g, qual))
+    df = store.select(p, o_lex, g, s).where(matches(s, p, o, g, qual))
     df = restrict(df, options)
     return df if options.limit is None else df.limit(options.limit)
 

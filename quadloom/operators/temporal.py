@@ -71,9 +71,9 @@ def valid_time(rows: DataFrame, store_rows: DataFrame, at: str | None = None, st
     meta = store_rows.where(kind.isNotNull()).select(F.col("s").alias("_s"), F.col("g").alias("_g"), kind.alias("_k"), times.marker(F.col("o")).alias("_from"), times.marker(F.col("o"), True).alias("_to"))
     pick = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
     meta = meta.groupBy("_s", "_g").agg(pick("validat", "_from").alias("_at"), pick("validfrom", "_from").alias("_a"), pick("validto", "_to").alias("_b"))
-    own = times.interval(F.col("o"))
-    instant = times.marker(F.col("o"))
-    joined = rows.join(meta, (F.col("s") == F.col("_s")) & F.col("g").eqNullSafe(F.col("_g")), "left")
+    own, instant = F.col("_own"), F.col("_instant")
+    timed = rows.withColumn("_own", times.interval(F.col("o"))).withColumn("_instant", times.marker(F.col("o")))
+    joined = timed.join(meta, (F.col("s") == F.col("_s")) & F.col("g").eqNullSafe(F.col("_g")), "left")
     has_own = own.isNotNull() | instant.isNotNull()
     begin = F.when(has_own, F.coalesce(own["begin"], instant)).otherwise(F.coalesce("_at", "_a"))
     until = F.when(has_own, F.coalesce(own["end"], instant)).otherwise(F.when(F.col("_at").isNotNull(), F.col("_at")).otherwise(F.col("_b")))

@@ -75,7 +75,7 @@ class Lowering:
 
     def _pattern(self, n: ir.Pattern) -> Bindings:
         constant = lambda x: x.lex if isinstance(x, Term) else None
-        df = self.store.select(constant(n.p), constant(n.o), constant(n.g) or (True if isinstance(n.g, Var) else None))
+        df = self.store.select(constant(n.p), constant(n.o), constant(n.g) or (True if isinstance(n.g, Var) else None), constant(n.s))
         cond: list[Column] = []
         seen: dict[str, list[Column]] = {}
         for slot, cols in ((n.s, [F.col("s"), F.lit(m.IRI), F.lit("")]), (n.p, [F.col("p"), F.lit(m.IRI), F.lit("")]), (n.o, [F.col("o"), F.col("o_dt"), F.coalesce("o_lang", F.lit(""))]), (n.g, [F.col("g"), F.lit(m.IRI), F.lit("")])):

@@ -22,10 +22,11 @@ _ROWS = "s string, p string, o string, o_dt string, o_lang string"
 _ITEM = {"fn": "Function", "struct": "Struct", "enum": "Enum", "trait": "Trait", "impl": "Implementation"}
 
 
-def findings(files: DataFrame, cap: int | None = 80) -> DataFrame:
+def findings(files: DataFrame, cap: int | None = None) -> DataFrame:
     """The files' columns but content, with (line, kind, snippet): one row for each pattern that a line matches.
 
-    ``cap`` stops after the first that many findings of a file, as a report would; None gives all.
+    ``cap``, where given, stops after the first that many findings of a file, as a report would. The snippet is
+    the trimmed line, its first 220 characters; the whole line is searched.
     """
     others = [c for c in files.columns if c != "content"]
     lines = files.select(*others, F.posexplode(F.split("content", "\n")).alias("_i", "_raw"))

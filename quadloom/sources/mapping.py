@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom import model as m
-from quadloom.sources.store import Part, QuadStore
+from quadloom.sources.store import Part, QuadStore, Template
 
 P, C, G = "urn:p:", "urn:c:", "urn:g:"
 #: Visibility of events by type.
@@ -39,8 +39,16 @@ def millis(c: Column | str) -> Column:
     return F.timestamp_diff("MILLISECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(c) if isinstance(c, str) else c)
 
 
-def _iri(kind: str, *keys: str) -> str:
-    return f"concat('urn:{kind}'" + "".join(f", ':', cast({k} as string)" for k in keys) + ")"
+class Iri(str):
+    """SQL of an IRI, and the template that it follows."""
+
+    template: Template
+
+
+def _iri(kind: str, *keys: str) -> Iri:
+    out = Iri(f"concat('urn:{kind}'" + "".join(f", ':', cast({k} as string)" for k in keys) + ")")
+    out.template = Template(f"urn:{kind}", keys)
+    return out
 
 
 def _millis(c: str) -> str:
@@ -73,14 +81,17 @@ class Star:
         out: list[Part] = []
 
         def add(table, s: str, p: str, o: str, dt: str = m.STRING, lang: str = "''", g: str = "null", vis: str = "null", ts: str = "0", fixed_o: str | None = None, where: str = "true") -> None:
-            def build() -> DataFrame:
+            def build(condition: str = "true") -> DataFrame:
                 df = self.table(table) if isinstance(table, str) else table()
-                return df.where(where).selectExpr(
+                return df.where(where).where(condition).selectExpr(
                     f"{s} as s", f"'{p}' as p", f"cast({o} as string) as o", f"'{dt}' as o_dt", f"{lang} as o_lang", f"cast({g} as string) as g", "cast(null as string) as qual",
                     f"cast({vis} as string) as vis", "cast(null as binary) as val", f"cast({ts} as bigint) as ts", "cast(0 as bigint) as seq",
                 )
 
-            out.append(Part(build, p, None if g != "null" else False, fixed_o))
+            # the rows of valid_orders are some of those of orders
+            clock = (table if isinstance(table, str) else "orders", vis, ts) if ts != "0" else None
+            constant = 0 if ts == "0" else None
+            out.append(Part(build, p, None if g != "null" else False, fixed_o, getattr(s, "template", None), getattr(o, "template", None), constant, clock))
 
         def typed(table: str, s: str, cls: str, ts: str = "0") -> None:
             add(table, s, m.TYPE, f"'{C + cls}'", m.IRI, ts=ts, fixed_o=C + cls)
@@ -146,7 +157,7 @@ class Star:
 
         for pred in sorted({b for _, b, _ in ONTOLOGY}):
             rows = [(a, b, v, m.IRI if ":" in v else m.STRING, "") for a, b, v in ONTOLOGY if b == pred]
-            out.append(Part(lambda rows=rows: m.conform(self.spark.createDataFrame(rows, "s string, p string, o string, o_dt string, o_lang string")), pred, False))
+            out.append(Part(lambda *_, rows=rows: m.conform(self.spark.createDataFrame(rows, "s string, p string, o string, o_dt string, o_lang string")), pred, False, ts=0))
         return QuadStore(self.spark, out)
 
 

@@ -65,7 +65,7 @@ def test_code_facts(spark):
     found = {(r.path, r.kind) for r in codefacts.findings(df).collect()}
     assert ("Cargo.toml", "DependencyGraphSurface") in found and ("src/auth.js", "NetworkRequestSurface") in found
     many = spark.createDataFrame([("a", "unsafe\n" * 200)], "path string, content string")
-    assert codefacts.findings(many).count() == 80 and codefacts.findings(many, None).count() == 200
+    assert codefacts.findings(many).count() == 200 and codefacts.findings(many, 80).count() == 80
 
 
 QUERY = "SELECT ?a ?c { ?a <u:p> ?b . ?b <u:q> ?c }"
