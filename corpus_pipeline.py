@@ -57,3 +57,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         before, docs = docs, scratch.table(out)
         scratch.drop(before)
+        common.release(out)
