@@ -674,6 +674,54 @@ def great_circle(spark, sf_dir):
     return s.select("s_suppkey", F.round(end["lat"], 6).alias("lat"), F.round(end["lon"], 6).alias("lon"))
 
 
+@query("SELECT 'urn:customer:' || c_custkey AS s FROM customer WHERE c_mktsegment IN ('BUILDING', 'FURNITURE') AND c_custkey::VARCHAR LIKE '%7'")
+def scan_row_regex(spark, sf_dir):
+    row = values.layout_row("spo")
+    return store(spark, sf_dir).select(P + "segment").where(scan.row_regex(row, "urn:customer:[0-9]*7\x00.*\x00(BUILDING|FURNITURE)\x01.")).select("s")
+
+
+@query(
+    """SELECT o_orderkey, lower(lpad(to_hex((o_custkey::HUGEINT + 9223372036854775808)::UBIGINT), 16, '0')) AS long_key,
+lower(lpad(to_hex(2147483648::BIGINT - o_custkey), 8, '0')) AS int_key, lower(lpad(to_hex(18446744073709551615::UBIGINT - epoch_ms(o_orderdate)::UBIGINT), 16, '0')) AS date_key,
+CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END AS boolean_key FROM orders"""
+)
+def keys_upgraded(spark, sf_dir):
+    o = Star(spark, sf_dir).table("orders")
+    cust = F.col("o_custkey").cast("string")
+    key = lambda c, mark, name: values.upgrade_key(c, F.lit(mark)).alias(name)
+    return o.select(
+        "o_orderkey", key(cust, 4, "long_key"), key((-F.col("o_custkey")).cast("string"), 5, "int_key"), key(millis("o_orderdate").cast("string"), 7, "date_key"), key((F.col("o_orderstatus") == "F").cast("string"), 10, "boolean_key")
+    )
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_custkey || '<<~>>xsd:long' AS a, CASE WHEN o_orderstatus = 'F' THEN chr(0) ELSE o_orderpriority || '<<~>>xsd:string' END AS b FROM orders)
+SELECT o_orderkey, a || ':::' || b AS ab, b || ':::' || a AS ba FROM o"""
+)
+def binding_orders(spark, sf_dir):
+    o = Star(spark, sf_dir).table("orders")
+    b = F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority"))
+    rows = o.select("o_orderkey", F.col("o_custkey").cast("string").alias("a"), F.lit("xsd:long").alias("a__dt"), b.alias("b"), F.lit("xsd:string").alias("b__dt"))
+    return rows.select("o_orderkey", *[values.binding_text(["a", "b"], x).alias(x.replace(";", "")) for x in values.orders(["a", "b"])])
+
+
+@query(
+    """SELECT DISTINCT o_orderpriority AS name, trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+array_to_string(list_transform(list_filter(regexp_split_to_array(o_orderpriority, '[^A-Za-z0-9]+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '') AS pascal FROM orders"""
+)
+def names_slug_pascal(spark, sf_dir):
+    o = Star(spark, sf_dir).table("orders").select(F.col("o_orderpriority").alias("name")).distinct()
+    return o.select("name", values.slug(F.col("name")).alias("slug"), values.pascal(F.col("name")).alias("pascal"))
+
+
+@query(
+    """SELECT '{"subject":"urn:event:' || event_id || '","predicate":"urn:p:user","object":"urn:user:' || user_id || '","objectType":"IRI_TYPE","context":"urn:g:' || event_type || '","visibility":"'
+|| CASE event_type WHEN 'error' THEN 'ops' WHEN 'purchase' THEN 'fin&ops' WHEN 'signup' THEN 'fin|ops' WHEN 'click' THEN 'mkt' ELSE '' END || '","timestamp":' || (epoch_us(ts) // 1000) || '}' AS row FROM events""".replace("IRI_TYPE", m.IRI)
+)
+def result_rows_json(spark, sf_dir):
+    return store(spark, sf_dir).select(P + "user").select(values.result_json().alias("row"))
+
+
 def _fields():
     return F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand"), F.lit("lon"), ((F.col("p_partkey") * 37) % 720 - 360).cast("string"), F.lit("lat"), ((F.col("p_partkey") * 17) % 180 - 90).cast("string"))
 
