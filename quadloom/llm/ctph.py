@@ -15,11 +15,14 @@ short texts agree by chance. Equal fingerprints score 100.
 
 Chunk boundaries and hashes are computed for a slice of documents at once by
 shifts and one prefix sum. For the search all runs of the distinct fingerprints
-are sorted; documents with one fingerprint are one entry, and edit distances
-are bit-parallel over a batch of pairs. The rows of a run that many have are
-handed on in blocks, whose pairs are tasks of their own. The result has one row
-for each document, with its class (a connected group of similar ones) and the
-number of its links, so copies are never listed with each other.
+are sorted; documents with one fingerprint are one entry. Only the rows of runs
+that several have get their strings, and all pairs of a run are scored in its
+task, bit-parallel. A pair counts at the first run that it shares, so pairs are
+neither listed nor made distinct: tasks return sums and stars. The rows of a run
+that many have are handed on in blocks, whose pairs are tasks of their own. The
+result has one row for each document, with its class (a connected group of
+similar ones) and the number of its links, so copies are never listed with each
+other. ``links`` lists the pairs, for tables that have few.
 
 Defined results: a null or empty text has block size 3 and empty strings, and
 is similar to none; texts too short for ``RUN`` characters are similar only
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadloom.llm import textnp as tx
-from quadloom.llm.cluster import components
+from quadloom.llm.cluster import Groups, components
 from quadloom.llm.common import Scratch, join_counted, map_text, resting_on
 
 LENGTH, RUN, SMALLEST, THRESHOLD = 64, 7, 3, 60
@@ -185,6 +188,44 @@ def _may(rows: np.ndarray, one: np.ndarray, two: np.ndarray, threshold: int) ->
     return (x[:, 0] != y[:, 0]) & near & ((before != other) | (before == START)) & ((x[:, 2] == 0) | (x[:, 2] != y[:, 2]))
 
 
+def _by_key(parts, rows_of_block: int | None):
+    """(arrays, block) of lists of arrays that are sorted by the first one, the key, and go on from list to list.
+
+    Whole keys come with block None. Rows of a key that has more than two blocks (None: no key has) come as they
+    are read, with the number of the first of their blocks, and none of them is held.
+    """
+    most = 2 * rows_of_block if rows_of_block else 2**62
+    held, hot, block = None, None, 0
+    for now in parts:
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        if hot is not None and len(now[0]):  # more of a key that was handed on
+            n = np.searchsorted(now[0], hot, side="right")
+            if n:
+                yield [x[:n] for x in now], block
+                block += -(-n // rows_of_block)
+            now = [x[n:] for x in now]
+            hot = None if len(now[0]) else hot
+        held, key = now, now[0]
+        if not len(key):
+            continue
+        whole = np.searchsorted(key, key[-1])  # the last key may go on in the next list
+        first = np.flatnonzero(np.concatenate([[True], key[1:whole] != key[: whole - 1]])) if whole else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, whole))
+        few = np.repeat(size <= most, size)
+        if few.any():
+            yield [x[:whole][few] for x in now], None
+        for f, n in zip(first[size > most], size[size > most]):
+            yield [x[f : f + n] for x in now], 0
+        held = [x[whole:] for x in now]
+        if len(held[0]) > most:
+            hot, block = held[0][0], -(-len(held[0]) // rows_of_block)
+            yield held, 0
+            held = [x[:0] for x in held]
+    if held is not None and len(held[0]):
+        yield held, None
+
+
 def _pairs(threshold: int):
     """Pairs of ids that share a key, from (key, id, mark, side) sorted by key; equal pairs of a batch once.
 
@@ -221,35 +262,16 @@ def _pairs(threshold: int):
         numbers = block + np.arange(len(rows)) // BLOCK
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), key)), pa.array(rows[:, 0]), pa.array(rows[:, 1].astype(np.int16)), pa.array(numbers)], names=names)
 
+    def read(batch):
+        columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)]
+        return [columns[0], np.column_stack(columns[1:])]
+
     def run(batches):
-        key, rows, hot, block = np.zeros(0, np.int64), np.zeros((0, 3), np.int64), None, 0
-        for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)]
-            key, rows = np.concatenate([key, columns[0]]), np.concatenate([rows, np.column_stack(columns[1:])])
-            if not len(key):
-                continue
-            if hot is not None:  # more of a key that was handed on
-                n = np.searchsorted(key, hot, side="right")
-                if n:
-                    yield hand_on(hot, rows[:n], block)
-                    block += -(-n // BLOCK)
-                key, rows = key[n:], rows[n:]
-                if not len(key):
-                    continue
-                hot = None
-            whole = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
-            first = np.flatnonzero(np.concatenate([[True], key[1:whole] != key[: whole - 1]])) if whole else np.zeros(0, np.int64)
-            size = np.diff(np.append(first, whole))
-            few = np.repeat(size <= 2 * BLOCK, size)
-            yield from emit(key[:whole][few], rows[:whole][few])
-            for f, n in zip(first[size > 2 * BLOCK], size[size > 2 * BLOCK]):
-                yield hand_on(key[f], rows[f : f + n], 0)
-            key, rows = key[whole:], rows[whole:]
-            if len(key) > 2 * BLOCK:
-                hot, block = key[0], -(-len(key) // BLOCK)
-                yield hand_on(hot, rows, 0)
-                key, rows = key[:0], rows[:0]
-        yield from emit(key, rows)
+        for (key, rows), block in _by_key(map(read, batches), BLOCK):
+            if block is None:
+                yield from emit(key, rows)
+            else:
+                yield hand_on(key[0], rows, block)
 
     return run
 
@@ -343,12 +365,217 @@ def _candidates(flat: DataFrame, threshold: int, s: Scratch) -> DataFrame:
     return found.where("_block is null").select("_a", "_b").unionByName(across).distinct()
 
 
-def links(docs: DataFrame, threshold: int, id_col: str, text_col: str, s: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(_id, _f), (_node, _rep, _n, _f) of the distinct fingerprints _f, and (_a, _b, _na, _nb, _score) of similar ones, as written tables."""
+def _first_runs(threshold: int):
+    def run(batches):
+        """(key, id, mark) of every run of RUN characters of each string, once for each string, with its block size in the key.
+
+        mark: 64 for the string of the double block size, and the run's first place in the string. A string
+        that is too short to score ``threshold`` at its block size has none.
+        """
+        for batch in batches:
+            for at in range(0, batch.num_rows, 10_000):
+                rows = batch.slice(at, 10_000)
+                ids, block = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False)
+                for k, strings in ((0, rows.column(2)), (1, rows.column(3))):
+                    data, to = _reduced(strings)
+                    if len(data) < RUN:
+                        continue
+                    value = _VALUE[data].astype(np.int64)
+                    code = np.zeros(len(data) - RUN + 1, np.int64)
+                    for i in range(RUN):
+                        code = code << 6 | value[i : i + len(code)]
+                    size = np.diff(to)
+                    owner = np.repeat(np.arange(len(ids)), size)
+                    good = (owner[: len(code)] == owner[RUN - 1 :]) & ((block << k) // SMALLEST * size >= threshold)[owner[: len(code)]]
+                    place = (np.arange(len(data)) - to[:-1][owner])[: len(code)][good]
+                    owner, code = owner[: len(code)][good], code[good]
+                    own = owner << 42 | code
+                    if (np.diff(np.sort(own)) == 0).any():  # seldom a run is twice in one string
+                        first = np.sort(np.unique(own, return_index=True)[1])
+                        owner, code, place = owner[first], code[first], place[first]
+                    if len(code):
+                        exponent = np.log2(block // SMALLEST).round().astype(np.int64)[owner] + k
+                        yield pa.RecordBatch.from_arrays([pa.array(exponent << 42 | code), pa.array(ids[owner]), pa.array((k << 6 | place).astype(np.int16))], names=["_key", "_id", "_mark"])
+
+    return run
+
+
+def _met(rows_of_block: int):
+    def run(batches):
+        """(key, id, mark, block) of the rows, sorted by key, of keys that several ids have; block is null but for keys of more than two blocks."""
+
+        def read(batch):
+            return [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+
+        for (key, ids, mark), block in _by_key(map(read, batches), rows_of_block):
+            if block is None:
+                same = key[1:] == key[:-1]
+                some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+                key, ids, mark = key[some], ids[some], mark[some]
+                number = pa.nulls(len(key), pa.int64())
+            else:
+                number = pa.array(block + np.arange(len(key)) // rows_of_block)
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(mark), number], names=["_key", "_id", "_mark", "_block"])
+
+    return run
+
+
+#: Pairs that are looked at, and that are scored, at once.
+_LOOK, _SCORE = 1 << 20, 1 << 13
+
+
+class _Strings:
+    """One string of each row: characters' values in a matrix, filled up with START, and the places of each character as bits."""
+
+    def __init__(self, text: np.ndarray, scale: np.ndarray):
+        self.text, self.scale, self.size = text, scale, (text < START).sum(axis=1)
+        self.by_place = np.ascontiguousarray(text.T)
+        self.mask = np.zeros((len(text), START + 1), np.uint64)
+        row = np.arange(len(text))
+        for j in range(int(self.size.max(initial=0))):
+            self.mask[row, text[:, j]] |= np.uint64(1 << j)
+        self.mask[:, START] = 0
+        self.mask = self.mask.ravel()
+
+    def scores(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of rows, as ``string_scores`` has them, whether or not they share a run."""
+        la, lb, s, at = self.size[a], self.size[b], np.full(len(a), 2**64 - 1, np.uint64), a * (START + 1)
+        for j in range(int(lb.max(initial=0))):
+            u = s & self.mask[at + self.by_place[j][b]]
+            s = (s + u) | (s - u)
+        whole = np.where(la >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(la, 63).astype(np.uint64)) - np.uint64(1))
+        total = np.maximum(la + lb, 1)
+        distance = total - 2 * np.bitwise_count(~s & whole).astype(np.int64)
+        return np.minimum(100 - (100 * distance + total - 1) // total, self.scale[a] * np.minimum(la, lb))
+
+    def first_shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of rows, the first place in a's string of a run that b's has too; START if there is none."""
+        n = max(int(self.size[a].max(initial=0)), RUN)
+        at = self.mask[b * (START + 1) + self.by_place[:n][:, a]]
+        met = at[: n - RUN + 1].copy()
+        for k in range(1, RUN):
+            met &= at[k : n - RUN + 1 + k] >> np.uint64(k)
+        met = met != 0
+        return np.where(met.any(axis=0), met.argmax(axis=0), START)
+
+
+def _matrix(strings: pa.Array) -> np.ndarray:
+    data, to = _reduced(strings)
+    size = np.diff(to)
+    out = np.full((len(size), LENGTH), START, np.uint8)
+    out[np.repeat(np.arange(len(size)), size), np.arange(len(data)) - np.repeat(to[:-1], size)] = _VALUE[data]
+    return out
+
+
+def _linked(threshold: int):
+    """(_a, _b, _w) from rows of (key, two blocks, id, n, mark, side, fingerprint) sorted by key and blocks.
+
+    _w is how many documents are linked with those of _a by pairs that count at a key, _b another id that _a is
+    connected with there. A pair counts where the first run of the lesser id's string that the other has is the
+    key's, at the smaller of the block sizes that link it; it is left out unseen where the characters before the
+    run are equal, as then the run that begins one earlier is shared too, and where the lengths, whose difference
+    is part of the edit distance, are too far apart to score ``threshold``. Rows of different blocks of a hot key
+    (sides 1 and 2) are paired across only.
+    """
+
+    def may(first, size, before, length, side):
+        """Rows one < two of pairs of one key, in batches; first: where keys begin, size: their numbers of rows."""
+        for n in np.unique(size[size > 1]):
+            at, high = first[size == n], max(1, min(n, _LOOK // n))
+            for some in np.array_split(at, max(1, -(-len(at) * n * high // _LOOK))):
+                for i in range(0, n - 1, high):
+                    x, y = some[:, None] + np.arange(i, min(i + high, n)), some[:, None] + np.arange(i, n)
+                    lx, ly, bx, sx = length[x][:, :, None], length[y][:, None], before[x][:, :, None], side[x][:, :, None]
+                    good = (bx != before[y][:, None]) | (bx == START)
+                    good &= 100 * np.abs(lx - ly) <= (100 - threshold) * (lx + ly)
+                    good &= (sx == 0) | (sx != side[y][:, None])
+                    good &= np.arange(x.shape[1])[:, None] < np.arange(y.shape[1])
+                    c, one, two = np.nonzero(good)
+                    yield x[c, one], y[c, two]
+
+    def score(rows):
+        group, ids, n, mark, side, block, single, double = rows
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        twice, place = mark >> 6, mark & 63
+        own = _Strings(np.where(twice[:, None] == 1, double, single), (block << twice) // SMALLEST)
+        before = np.where(place > 0, own.text[np.arange(len(ids)), np.maximum(place, 1) - 1], START).astype(np.uint8)
+        below = None
+        weight, groups = np.zeros(len(ids), np.int64), Groups(len(ids))
+        for one, two in may(first, np.diff(np.append(first, len(group))), before, own.size.astype(np.int16), side):
+            for at in range(0, len(one), _SCORE):
+                a, b = one[at : at + _SCORE], two[at : at + _SCORE]
+                good = own.scores(a, b) >= threshold
+                a, b = a[good], b[good]
+                a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+                good = own.first_shared(a, b) == place[a]
+                a, b = a[good], b[good]
+                both = np.flatnonzero(twice[a] & twice[b])  # of one block size, which may link them already
+                if len(both):
+                    below = below or _Strings(single, block // SMALLEST)
+                    x, y = a[both], b[both]
+                    linked = (below.scores(x, y) >= threshold) & (below.first_shared(x, y) < START)
+                    a, b = np.delete(a, both[linked]), np.delete(b, both[linked])
+                np.add.at(weight, a, n[b])
+                np.add.at(weight, b, n[a])
+                groups.link(a, b)
+        some = np.flatnonzero(weight)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[groups.root[some]]), pa.array(weight[some])], names=["_a", "_b", "_w"])
+
+    def run(batches):
+        last, number = None, 0
+
+        def read(batch):
+            nonlocal last, number
+            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
+            if not batch.num_rows:
+                return [np.zeros(0, np.int64), *c[3:8], _matrix(batch.column(8)), _matrix(batch.column(9))]
+            other = np.zeros(batch.num_rows, np.int64)
+            other[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])
+            other[0] = last != (c[0][0], c[1][0], c[2][0])
+            group = number + np.cumsum(other)
+            last, number = (c[0][-1], c[1][-1], c[2][-1]), group[-1]
+            return [group, c[3], c[4], c[5].astype(np.int64), c[6], c[7], _matrix(batch.column(8)), _matrix(batch.column(9))]
+
+        for rows, _ in _by_key(map(read, batches), None):
+            out = score(rows)
+            if out.num_rows:
+                yield out
+
+    return run
+
+
+def _degrees(groups: DataFrame, threshold: int, s: Scratch) -> DataFrame:
+    """(_a, _b, _w), for each fingerprint one or more rows with parts of the number of its links with other ones and with what it is connected with."""
+    spark = groups.sparkSession
+    prints = groups.select(F.col("_node").alias("_id"), "_n", "_f.block_size", "_f.signature", "_f.signature_double")
+    keys = prints.drop("_n").mapInArrow(_first_runs(threshold), "_key bigint, _id bigint, _mark smallint")
+    found = s.table(keys.repartition("_key").sortWithinPartitions("_key").mapInArrow(_met(BLOCK), "_key bigint, _id bigint, _mark smallint, _block bigint"))
+    none = F.lit(0).cast("bigint")
+    cold = found.where("_block is null").select("_key", none.alias("_x"), none.alias("_y"), "_id", "_mark", F.lit(0).cast("smallint").alias("_side"))
+    # each block of a hot key meets each other one in a task of its own; a block and its own rows are one too
+    rows = found.where("_block is not null")
+    last = s.table(rows.groupBy("_key").agg(F.max("_block").alias("_last"), F.count("*").alias("_many")))
+    hot = join_counted(rows, last, ["_key"], "_many").withColumn("_o", F.explode(F.sequence(none, "_last")))
+    side = F.when(F.col("_block") == F.col("_o"), 0).when(F.col("_block") < F.col("_o"), 1).otherwise(2).cast("smallint")
+    hot = hot.select("_key", F.least("_block", "_o").alias("_x"), F.greatest("_block", "_o").alias("_y"), "_id", "_mark", side.alias("_side"))
+    rows = cold.unionByName(hot).join(prints, "_id").select("_key", "_x", "_y", "_id", "_n", "_mark", "_side", "block_size", "signature", "signature_double")
+    # as many tasks as the session has partitions, for it is pairs that take time, not bytes
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_key", "_x", "_y").sortWithinPartitions("_key", "_x", "_y")
+    return s.table(rows.mapInArrow(_linked(threshold), "_a bigint, _b bigint, _w bigint"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(_id, _f) and (_f, _rep, _n, _node) of the distinct fingerprints _f, as written tables."""
     prints = fingerprint(docs, id_col, text_col).select(F.col(id_col).alias("_id"), F.struct("block_size", "signature", "signature_double").alias("_f")).where("_id is not null")
     prints = s.table(prints.groupBy("_id").agg(F.min("_f").alias("_f")))
     groups = prints.where("_f.signature <> ''").groupBy("_f").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n"))
-    groups = s.table(groups.withColumn("_node", F.monotonically_increasing_id()))
+    return prints, s.table(groups.withColumn("_node", F.monotonically_increasing_id()))
+
+
+def links(docs: DataFrame, threshold: int, id_col: str, text_col: str, s: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(_id, _f), (_node, _rep, _n, _f) of the distinct fingerprints _f, and (_a, _b, _na, _nb, _score) of similar ones, as written tables."""
+    prints, groups = _grouped(docs, id_col, text_col, s)
     flat = groups.select("_node", "_f.block_size", "_f.signature", "_f.signature_double")
     side = lambda to, x: groups.select(F.col("_node").alias(to), F.col("_n").alias(f"_n{to[1]}"), F.col("_f.block_size").alias(f"_{x}0"), F.col("_f.signature").alias(f"_{x}1"), F.col("_f.signature_double").alias(f"_{x}2"))
     both = _candidates(flat, threshold, s).join(side("_a", "x"), "_a").join(side("_b", "y"), "_b").select("_a", "_b", "_x0", "_x1", "_x2", "_y0", "_y1", "_y2", "_na", "_nb")
@@ -372,12 +599,15 @@ def similar(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
     links: how many other documents score ``threshold`` or more.
     """
     s = Scratch(docs.sparkSession)
-    prints, groups, scored = links(docs, threshold, id_col, text_col, s)
-    roots = components(scored.select("_a", "_b"), s).withColumnRenamed("_id", "_node")
-    ways = scored.select(F.col("_a").alias("_node"), F.col("_nb").alias("_w")).unionByName(scored.select(F.col("_b").alias("_node"), F.col("_na").alias("_w")))
-    known = groups.join(ways.groupBy("_node").agg(F.sum("_w").alias("_w")), "_node", "left").join(roots, "_node", "left")
-    least = known.where("_root is not null").groupBy("_root").agg(F.min("_rep").alias("_least"))
-    known = known.join(least, "_root", "left").select("_f", "_n", F.coalesce("_least", "_rep").alias("_class"), (F.coalesce("_w", F.lit(0).cast("bigint")) + F.col("_n") - 1).alias("_links"))
+    prints, groups = _grouped(docs, id_col, text_col, s)
+    degrees = _degrees(groups, threshold, s)
+    roots = components(degrees.select("_a", "_b"), s).withColumnRenamed("_id", "_node")
+    ways = degrees.groupBy(F.col("_a").alias("_node")).agg(F.sum("_w").alias("_w"))
+    # classes are joined by node, not by root, which most fingerprints don't have: nulls would all be one task's
+    least = roots.join(groups.select("_node", "_rep"), "_node").groupBy("_root").agg(F.min("_rep").alias("_least"))
+    classes = roots.join(least, "_root").select("_node", "_least")
+    known = groups.join(ways, "_node", "left").join(classes, "_node", "left")
+    known = known.select("_f", "_n", F.coalesce("_least", "_rep").alias("_class"), (F.coalesce("_w", F.lit(0).cast("bigint")) + F.col("_n") - 1).alias("_links"))
     found = join_counted(prints.where("_f.signature <> ''"), s.table(known), ["_f"], "_n").select("_id", "_f", "_class", "_links")
     alone = prints.where("_f.signature = ''").select("_id", "_f", F.col("_id").alias("_class"), F.lit(0).cast("bigint").alias("_links"))
     out = s.table(found.unionByName(alone))
