@@ -3,10 +3,12 @@
 The schema (classes, properties, restrictions) is collected and closed on the
 driver, then sent back as small tables. Facts stay distributed: each round
 joins what was found last with the schema tables (broadcast) and, for rules of
-two facts, with all facts; what is new is written as the round's table.
+two facts, with all facts; what is new is written as the round's table. Only rules
+are run for which the facts have the schema's predicates and classes, and facts are never broadcast.
 
 A fact keeps the rule and round that gave it, the size ``span`` of its smallest
 derivation of that round, and its direct premises. Inconsistencies are a second result.
+Premises are written as the up to three terms ``VIA`` that the fact itself lacks, and put together when they are read.
 """
 
 from __future__ import annotations
@@ -32,6 +34,12 @@ SCHEMA_PREDICATES = {
 PROPERTY_KINDS = {_O + k for k in ("TransitiveProperty", "SymmetricProperty", "AsymmetricProperty", "IrreflexiveProperty", "FunctionalProperty", "InverseFunctionalProperty")}
 SCHEMA_TYPES = PROPERTY_KINDS | {_O + k for k in ("Class", "Restriction", "ObjectProperty", "DatatypeProperty")} | {_R + "Class", m.RDF + "Property"}
 FACT = ["s", "p", "o", "o_dt", "o_lang"]
+VIA = ["v1", "v2", "v3"]
+#: The premises of each rule, by terms of the fact and of its VIA; ``a`` is rdf:type.
+PREMISES = {
+    "PrpDom": ["s v1 v2"], "PrpRng": ["v1 v2 s"], "PrpSpo1": ["s v1 o"], "PrpInv": ["o v1 s"], "PrpSymp": ["o p s"], "CaxSco": ["s a v1"], "ClsHv1": ["s a v1"], "ClsHv2": ["s v1 v2"], "ClsSvf2": ["s v1 v2"],
+    "ClsAvf": ["v1 v2 s", "v1 a v3"], "ClsSvf1": ["s v1 v2", "v2 a v3"], "PrpTrp": ["s p v1", "v1 p o"],
+}
 
 
 def is_schema(p: Column, o: Column) -> Column:
@@ -183,98 +191,217 @@ def schema_of(store: QuadStore, options: Options = Options()) -> Schema:
     return Schema.build([tuple(r) for r in df.select(*FACT).distinct().collect()])
 
 
+def premises() -> Column:
+    """The premises' keys, from a fact's rule and VIA."""
+    term = lambda x: F.lit(m.TYPE) if x == "a" else F.col(x)
+    out = F.array().cast("array<string>")
+    for rule, keys in PREMISES.items():
+        out = F.when(F.col("rule") == rule, F.array(*[F.concat_ws(" ", *[term(x) for x in k.split()]) for k in keys])).otherwise(out)
+    return out
+
+
+@dataclass
+class Seen:
+    """What some facts have of the schema: predicates and classes with the rules (and for PrpInv the predicate) that gave them.
+
+    ``tagged`` are the predicates of IRIs that have a language.
+    """
+
+    predicates: dict = field(default_factory=lambda: defaultdict(set))
+    classes: dict = field(default_factory=lambda: defaultdict(set))
+    tagged: set = field(default_factory=set)
+
+    def with_(self, other: Seen) -> Seen:
+        both = lambda a, b: defaultdict(set, {k: a.get(k, set()) | b.get(k, set()) for k in a.keys() | b.keys()})
+        return Seen(both(self.predicates, other.predicates), both(self.classes, other.classes), self.tagged | other.tagged)
+
+
+@dataclass
+class Derived:
+    """Rows of a rule, the predicates (of types: classes) that they can have, and whether no fact is there twice."""
+
+    df: DataFrame
+    predicates: set
+    classes: set
+    once: bool = False
+
+    def meets(self, predicates, classes) -> bool:
+        # a rule that gives rdf:type as a predicate can give any class
+        return not self.predicates.isdisjoint(predicates) or not self.classes.isdisjoint(classes) or m.TYPE in self.predicates or (bool(self.classes) and m.TYPE in predicates)
+
+
 class Reasoner:
     def __init__(self, spark, schema: Schema):
         self.spark, self.schema = spark, schema
         x, pairs = schema, lambda d: sorted({(a, b) for a, bs in d.items() for b in bs})
         restriction = lambda d: sorted({(r, p, c) for r, cs in d.items() for c in cs for p in x.on_property.get(r, ())})
-        self.tables = {
-            "domain": self._table(pairs(x.domain), "_p, _c"),
-            "range": self._table(pairs(x.range), "_p, _c"),
-            "up": self._table([(p, q) for p, q in pairs(x.super_properties) if p != q], "_p, _q"),
-            "inverse": self._table(pairs(x.inverse), "_p, _q"),
-            "super": self._table([(a, b) for a, b in pairs(x.super_classes) if b != THING and a != b], "_c, _d"),
-            "some": self._table([t for t in restriction(x.some) if t[2] != THING], "_r, _p, _c"),
-            "some_thing": self._table([(r, p) for r, p, c in restriction(x.some) if c == THING], "_r, _p"),
-            "all": self._table(restriction(x.all), "_r, _p, _c"),
-            "value": self._table([(r, p, *v) for r, p, v in restriction(x.value)], "_r, _p, _v, _dt, _lang"),
-            "disjoint": self._table([(a, b) for a, b in pairs(x.disjoint) if a < b], "_c, _d"),
-            "complement": self._table([(a, b) for a, b in pairs(x.complement) if a < b], "_c, _d"),
-            "apart": self._table([(a, b) for a, b in pairs(x.disjoint_properties) if a < b], "_p, _q"),
-            "none": self._table(sorted({(r, p) for r, n in x.most.items() if n == 0 for p in x.on_property.get(r, ())} | {(r, p) for r, n in x.most_of.items() if n == 0 and THING in x.on_class.get(r, ()) for p in x.on_property.get(r, ())}), "_r, _p"),
+        self.rows = {
+            "domain": pairs(x.domain),
+            "range": pairs(x.range),
+            "up": [(p, q) for p, q in pairs(x.super_properties) if p != q],
+            "inverse": pairs(x.inverse),
+            "super": [(a, b) for a, b in pairs(x.super_classes) if b != THING and a != b],
+            "some": [t for t in restriction(x.some) if t[2] != THING],
+            "some_thing": [(r, p) for r, p, c in restriction(x.some) if c == THING],
+            "all": restriction(x.all),
+            "value": [(r, p, *v) for r, p, v in restriction(x.value)],
+            "disjoint": [(a, b) for a, b in pairs(x.disjoint) if a < b],
+            "complement": [(a, b) for a, b in pairs(x.complement) if a < b],
+            "apart": [(a, b) for a, b in pairs(x.disjoint_properties) if a < b],
+            "none": sorted({(r, p) for r, n in x.most.items() if n == 0 for p in x.on_property.get(r, ())} | {(r, p) for r, n in x.most_of.items() if n == 0 and THING in x.on_class.get(r, ()) for p in x.on_property.get(r, ())}),
         }
+        r = self.rows
+        self.predicates = {p for n in ("domain", "range") for p, _ in r[n]} | {p for n in ("up", "inverse") for t in r[n] for p in t} | {t[1] for n in ("some", "some_thing", "all", "value") for t in r[n]} | set().union(*x.kinds.values(), set())
+        self.classes = {c for n in ("domain", "range") for _, c in r[n]} | {c for t in r["super"] for c in t} | {c for n in ("some", "all") for t in r[n] for c in (t[0], t[2])} | {t[0] for n in ("some_thing", "value") for t in r[n]}
+        # transitive properties of which no other rule gives a fact: a fact's span is then its path's length
+        given_only = x.kinds.get(_O + "TransitiveProperty", set()) - {q for n in ("up", "inverse") for _, q in r[n]} - {t[1] for t in r["value"]} - x.kinds.get(_O + "SymmetricProperty", set()) - {m.TYPE}
+        self.given_only = given_only
+
+    NAMES = {"domain": "_p, _c", "range": "_p, _c", "up": "_p, _q", "inverse": "_p, _q", "super": "_c, _d", "some": "_r, _p, _c", "some_thing": "_r, _p", "all": "_r, _p, _c", "value": "_r, _p, _v, _dt, _lang", "disjoint": "_c, _d", "complement": "_c, _d", "apart": "_p, _q", "none": "_r, _p"}
 
-    def _table(self, rows: list[tuple], names: str) -> DataFrame | None:
+    def _table(self, name: str, rows: list[tuple] | None = None) -> DataFrame | None:
+        rows = self.rows[name] if rows is None else rows
         if not rows:
             return None
-        return F.broadcast(self.spark.createDataFrame(rows, ", ".join(f"{n.strip()} string" for n in names.split(","))))
+        return F.broadcast(self.spark.createDataFrame(rows, ", ".join(f"{n.strip()} string" for n in self.NAMES[name].split(","))))
+
+    def _among(self, df: DataFrame, column: str, values: set) -> DataFrame:
+        """Rows with one of these values, as a filter that reaches the scan where they are few."""
+        if len(values) <= 200:
+            return df.where(F.col(column).isin(*sorted(values)))
+        return df.join(F.broadcast(self.spark.createDataFrame([(v,) for v in sorted(values)], "_among string")), F.col(column) == F.col("_among"), "left_semi")
 
     def _kind(self, kind: str) -> Column | None:
         names = sorted(self.schema.kinds.get(_O + kind, ()))
         return F.col("p").isin(names) if names else None
 
-    # rules of one fact and the schema
-
-    def single(self, d: DataFrame) -> list[DataFrame]:
-        t, out = self.tables, []
-        typed = F.col("p") == m.TYPE
-        is_iri = F.col("o_dt") == m.IRI
+    def seen(self, d: DataFrame) -> Seen:
+        """Read from the facts; what is collected is bounded by the schema."""
+        c, out = F.col, Seen()
+        typed = c("p") == m.TYPE
+        tagged = F.coalesce((c("o_dt") == m.IRI) & (c("o_lang") != ""), F.lit(False))
+        rows = d.select(F.coalesce(F.when(typed, c("o")), c("p")).alias("_t"), F.coalesce(typed, F.lit(False)).alias("_typed"), "rule", F.when(c("rule") == "PrpInv", c("v1")).alias("_from"), tagged.alias("_tagged"))
+        terms = self.predicates | self.classes
+        if terms:
+            for t, is_type, rule, source, tag in self._among(rows, "_t", terms).distinct().collect():
+                (out.classes if is_type else out.predicates)[t].add((rule, source))
+                if tag:
+                    out.tagged.add(m.TYPE if is_type else t)
+        if m.TYPE in self.predicates:
+            out.predicates[m.TYPE].add(("any", None))
+        return out
 
-        def add(df: DataFrame, s: Column, p: Column, o: Column, rule: str, dt: Column | None = None, lang: Column | None = None) -> None:
-            out.append(df.select(s.alias("s"), p.alias("p"), o.alias("o"), (F.lit(m.IRI) if dt is None else dt).alias("o_dt"), (F.lit("") if lang is None else lang).alias("o_lang"), F.lit(rule).alias("rule"), (F.col("span") + 1).alias("span"), F.array(_key()).alias("premises")))
+    # rules of one fact and the schema
 
+    def single(self, d: DataFrame, seen: Seen, tagged: set = frozenset()) -> list[Derived]:
+        """``tagged``: predicates for which any fact has an IRI with a language; its inverse's inverse lacks it."""
+        out: list[Derived] = []
         c, kind = F.col, F.lit(m.TYPE)
-        if t["domain"] is not None:
-            add(d.join(t["domain"], c("p") == c("_p")), c("s"), kind, c("_c"), "PrpDom")
-        if t["range"] is not None:
-            add(d.where(is_iri).join(t["range"], c("p") == c("_p")), c("o"), kind, c("_c"), "PrpRng")
-        if t["up"] is not None:
-            add(d.where("rule <> 'PrpSpo1'").join(t["up"], c("p") == c("_p")), c("s"), c("_q"), c("o"), "PrpSpo1", c("o_dt"), c("o_lang"))
-        if t["inverse"] is not None:
-            add(d.where(is_iri).join(t["inverse"], c("p") == c("_p")), c("o"), c("_q"), c("s"), "PrpInv")
-        if (symmetric := self._kind("SymmetricProperty")) is not None:
-            add(d.where(is_iri & symmetric), c("o"), c("p"), c("s"), "PrpSymp")
-        if t["super"] is not None:
-            add(d.where(typed & (c("rule") != "CaxSco")).join(t["super"], c("o") == c("_c")), c("s"), kind, c("_d"), "CaxSco")
-        if t["value"] is not None:
-            add(d.where(typed).join(t["value"], c("o") == c("_r")), c("s"), c("_p"), c("_v"), "ClsHv1", c("_dt"), c("_lang"))
-            add(d.join(t["value"], (c("p") == c("_p")) & (c("o") == c("_v")) & (c("o_dt") == c("_dt")) & (c("o_lang") == c("_lang"))), c("s"), kind, c("_r"), "ClsHv2")
-        if t["some_thing"] is not None:
-            add(d.join(t["some_thing"], c("p") == c("_p")), c("s"), kind, c("_r"), "ClsSvf2")
+        typed, is_iri = c("p") == m.TYPE, c("o_dt") == m.IRI
+        by = lambda x, but: {r for r, _ in x} - {but}
+
+        def add(df: DataFrame, s: Column, p: Column, o: Column, rule: str, via: list[Column], predicates=(), classes=(), dt: Column | None = None, lang: Column | None = None, once: bool = False) -> None:
+            out.append(Derived(df.select(*_row(s, p, o, rule, c("span") + 1, via, dt, lang)), set(predicates), set(classes), once))
+
+        def sources(name: str, at: int = 0):
+            rows = [t for t in self.rows[name] if t[at] in seen.predicates]
+            return rows, self._table(name, rows), self._among(d, "p", {t[at] for t in rows})
+
+        rows, table, f = sources("domain")
+        if rows:
+            add(f.join(table, c("p") == c("_p")), c("s"), kind, c("_c"), "PrpDom", [c("p"), c("o")], classes={x for _, x in rows})
+        rows, table, f = sources("range")
+        if rows:
+            add(f.where(is_iri).join(table, c("p") == c("_p")), c("o"), kind, c("_c"), "PrpRng", [c("s"), c("p")], classes={x for _, x in rows})
+        rows = [(p, q) for p, q in self.rows["up"] if p in seen.predicates and by(seen.predicates[p], "PrpSpo1")]
+        if rows:
+            f = self._among(d.where("rule <> 'PrpSpo1'"), "p", {p for p, _ in rows})
+            add(f.join(self._table("up", rows), c("p") == c("_p")), c("s"), c("_q"), c("o"), "PrpSpo1", [c("p")], {q for _, q in rows}, dt=c("o_dt"), lang=c("o_lang"), once=_each_once(rows))
+        # a fact that came from its inverse doesn't give that again
+        back = lambda q: set() if q in tagged else {("PrpInv", q)}
+        rows = [(p, q) for p, q in self.rows["inverse"] if p in seen.predicates and seen.predicates[p] - back(q)]
+        if rows:
+            f = self._among(d.where(is_iri), "p", {p for p, _ in rows}).join(self._table("inverse", rows), c("p") == c("_p")).where(~((c("rule") == "PrpInv") & c("v1").eqNullSafe(c("_q")) & ~c("_q").isin(*sorted(tagged))))
+            add(f, c("o"), c("_q"), c("s"), "PrpInv", [c("p")], {q for _, q in rows}, once=_each_once(rows) and seen.tagged.isdisjoint({p for p, _ in rows}))
+        names = {p for p in self.schema.kinds.get(_O + "SymmetricProperty", ()) if p in seen.predicates and (p in tagged or by(seen.predicates[p], "PrpSymp"))}
+        if names:
+            add(self._among(d.where(is_iri & ((c("rule") != "PrpSymp") | c("p").isin(*sorted(tagged)))), "p", names), c("o"), c("p"), c("s"), "PrpSymp", [], names, once=seen.tagged.isdisjoint(names))
+        rows = [(a, b) for a, b in self.rows["super"] if a in seen.classes and by(seen.classes[a], "CaxSco")]
+        if rows:
+            f = self._among(d.where(typed & (c("rule") != "CaxSco")), "o", {a for a, _ in rows})
+            add(f.join(self._table("super", rows), c("o") == c("_c")), c("s"), kind, c("_d"), "CaxSco", [c("o")], classes={b for _, b in rows})
+        rows = [t for t in self.rows["value"] if t[0] in seen.classes]
+        if rows:
+            f = self._among(d.where(typed), "o", {t[0] for t in rows})
+            add(f.join(self._table("value", rows), c("o") == c("_r")), c("s"), c("_p"), c("_v"), "ClsHv1", [c("o")], {t[1] for t in rows}, dt=c("_dt"), lang=c("_lang"))
+        rows, table, f = sources("value", 1)
+        if rows:
+            add(f.join(table, (c("p") == c("_p")) & (c("o") == c("_v")) & (c("o_dt") == c("_dt")) & (c("o_lang") == c("_lang"))), c("s"), kind, c("_r"), "ClsHv2", [c("p"), c("o")], classes={t[0] for t in rows})
+        rows, table, f = sources("some_thing", 1)
+        if rows:
+            add(f.join(table, c("p") == c("_p")), c("s"), kind, c("_r"), "ClsSvf2", [c("p"), c("o")], classes={t[0] for t in rows})
         return out
 
     # rules of two facts: either may be new
 
-    def double(self, a: DataFrame, b: DataFrame) -> list[DataFrame]:
-        """``a`` gives the left and ``b`` the right premise."""
-        t, out = self.tables, []
+    def double(self, a: DataFrame, b: DataFrame, seen_a: Seen, seen_b: Seen, stepped: set) -> list[Derived]:
+        """``a`` gives the left and ``b`` the right premise; the transitive properties ``stepped`` are left to ``paths``."""
+        out: list[Derived] = []
         c = F.col
         right = b.select(*[c(x).alias(f"b_{x}") for x in (*FACT, "span")])
-
-        def add(df: DataFrame, s: Column, p: Column, o: Column, rule: str) -> None:
-            out.append(df.select(s.alias("s"), p.alias("p"), o.alias("o"), F.lit(m.IRI).alias("o_dt"), F.lit("").alias("o_lang"), F.lit(rule).alias("rule"), (c("span") + c("b_span")).alias("span"), F.array(_key(), _key("b_")).alias("premises")))
-
         is_iri = c("o_dt") == m.IRI
-        if t["all"] is not None:  # x p y, x type R
-            left = a.where(is_iri).join(t["all"], c("p") == c("_p"))
-            add(left.join(right.where(c("b_p") == m.TYPE), (c("s") == c("b_s")) & (c("_r") == c("b_o"))), c("o"), F.lit(m.TYPE), c("_c"), "ClsAvf")
-        if t["some"] is not None:  # x p y, y type C
-            left = a.where(is_iri).join(t["some"], c("p") == c("_p"))
-            add(left.join(right.where(c("b_p") == m.TYPE), (c("o") == c("b_s")) & (c("_c") == c("b_o"))), c("s"), F.lit(m.TYPE), c("_r"), "ClsSvf1")
-        if (transitive := self._kind("TransitiveProperty")) is not None:
-            add(a.where(is_iri & transitive).join(right.where(c("b_o_dt") == m.IRI), (c("p") == c("b_p")) & (c("o") == c("b_s"))), c("s"), c("p"), c("b_o"), "PrpTrp")
+
+        def add(df: DataFrame, s: Column, p: Column, o: Column, rule: str, via: list[Column], predicates=(), classes=()) -> None:
+            out.append(Derived(df.select(*_row(s, p, o, rule, c("span") + c("b_span"), via)), set(predicates), set(classes)))
+
+        def sides(name: str, cls: int):
+            rows = [t for t in self.rows[name] if t[1] in seen_a.predicates and t[cls] in seen_b.classes]
+            left = self._among(a.where(is_iri), "p", {t[1] for t in rows})
+            types = self._among(right.where(c("b_p") == m.TYPE), "b_o", {t[cls] for t in rows})
+            return rows, (left.join(self._table(name, rows), c("p") == c("_p")) if rows else left), types.hint("merge")
+
+        rows, left, types = sides("all", 0)  # x p y, x type R
+        if rows:
+            add(left.join(types, (c("s") == c("b_s")) & (c("_r") == c("b_o"))), c("o"), F.lit(m.TYPE), c("_c"), "ClsAvf", [c("s"), c("p"), c("_r")], classes={t[2] for t in rows})
+        rows, left, types = sides("some", 2)  # x p y, y type C
+        if rows:
+            add(left.join(types, (c("o") == c("b_s")) & (c("_c") == c("b_o"))), c("s"), F.lit(m.TYPE), c("_r"), "ClsSvf1", [c("p"), c("o"), c("_c")], classes={t[0] for t in rows})
+        names = {p for p in self.schema.kinds.get(_O + "TransitiveProperty", ()) if p in seen_a.predicates and p in seen_b.predicates} - stepped
+        if names:
+            onward = self._among(right.where(c("b_o_dt") == m.IRI), "b_p", names).hint("merge")
+            add(self._among(a.where(is_iri), "p", names).join(onward, (c("p") == c("b_p")) & (c("o") == c("b_s"))), c("s"), c("p"), c("b_o"), "PrpTrp", [c("o")], names)
         return out
 
+    def paths(self, new: DataFrame, total: DataFrame, names: set, k: int) -> DataFrame:
+        """PrpTrp of round ``k`` for properties whose facts are given or paths, so that span is a shortest path's length.
+
+        All paths up to n = 2^(k-1) are known. A longer one, up to 2n, begins with one of exactly n edges: it is put
+        together at that one place, and not at each of its nodes.
+        """
+        c = F.col
+        key = ["s", "o"] if len(names) == 1 else ["s", "o", "p"]
+        facts = lambda d: self._among(d.where((c("o_dt") == m.IRI)), "p", names)
+        left = facts(new).where(c("span") == 2 ** (k - 1)).select(*key, "span")
+        right = facts(total).select(*[c(x).alias(f"b_{x}") for x in (*key, "span")]).hint("merge")
+        on = c("o") == c("b_s")
+        if "p" in key:
+            on = on & (c("p") == c("b_p"))
+        step = left.join(right, on).select(*[(c("b_o") if x == "o" else c(x)).alias(x) for x in key], (c("span") + c("b_span")).alias("span"), c("o").alias("v1"))
+        best = step.groupBy(*key).agg(F.min(F.struct("span", "v1")).alias("_d"))
+        fresh = best.join(facts(total).select(*key).hint("merge"), key, "left_anti")
+        p = F.lit(next(iter(names))) if len(names) == 1 else c("p")
+        return fresh.select(*_row(c("s"), p, c("o"), "PrpTrp", c("_d.span"), [c("_d.v1")]))
+
     def conflicts(self, f: DataFrame) -> DataFrame:
         """(node, rule, about) over all facts, once each."""
-        t, out = self.tables, []
+        t, out = {n: self._table(n) for n in ("disjoint", "complement", "apart", "none")}, []
         c = F.col
-        other = f.select(*[c(x).alias(f"b_{x}") for x in FACT])
+        other = f.select(*[c(x).alias(f"b_{x}") for x in FACT]).hint("merge")
 
         def add(df: DataFrame, node: Column, rule: str, about: Column) -> None:
             out.append(df.select(node.alias("node"), F.lit(rule).alias("rule"), about.alias("about")))
 
-        typed, types = f.where(c("p") == m.TYPE), other.where(c("b_p") == m.TYPE)
+        typed, types = f.where(c("p") == m.TYPE), other.where(c("b_p") == m.TYPE).hint("merge")
         for name, rule in (("disjoint", "CaxDw"), ("complement", "ClsCom")):
             if t[name] is not None:
                 add(typed.join(t[name], c("o") == c("_c")).join(types, (c("s") == c("b_s")) & (c("_d") == c("b_o"))), c("s"), rule, F.concat_ws(" ", "_c", "_d"))
@@ -289,28 +416,65 @@ class Reasoner:
             add(f.join(t["none"], c("p") == c("_p")).join(types, (c("s") == c("b_s")) & (c("_r") == c("b_o"))), c("s"), "ClsMaxc1", c("_r"))
         return reduce(DataFrame.unionByName, out).distinct()
 
+    def fresh(self, derived: list[Derived], total: DataFrame, known: Seen) -> list[DataFrame]:
+        """What is derived and not known, each fact once with its smallest derivation."""
+        out, several = [], []
+        for i, x in enumerate(derived):
+            alone = x.once and not any(x.meets(y.predicates, y.classes) or y.meets(x.predicates, x.classes) for j, y in enumerate(derived) if j != i)
+            (out if alone else several).append(x)
+        if several:
+            rows = reduce(DataFrame.unionByName, [x.df for x in several])
+            best = rows.groupBy(*FACT).agg(F.min(F.struct("span", "rule", *VIA)).alias("_d")).select(*FACT, *[f"_d.{x}" for x in ("rule", "span", *VIA)])
+            out.append(Derived(best, set().union(*[x.predicates for x in several]), set().union(*[x.classes for x in several])))
+        got = []
+        for x in out:
+            if x.meets(known.predicates, known.classes):
+                typed = (F.col("p") == m.TYPE) if m.TYPE in x.predicates or len(x.classes) > 200 else (F.col("p") == m.TYPE) & F.col("o").isin(*sorted(x.classes))
+                same = total.where(F.col("p").isin(*sorted(x.predicates)) | typed) if len(x.predicates) <= 200 else total
+                x.df = x.df.join(same.select(*FACT).hint("merge"), FACT, "left_anti")
+            got.append(x.df)
+        return got
+
     def run(self, facts: DataFrame, most_rounds: int = 1000) -> Result:
         keep = Rounds(self.spark)
         given = facts.where(~is_schema(F.col("p"), F.col("o"))).select("s", "p", "o", "o_dt", F.coalesce("o_lang", F.lit("")).alias("o_lang")).distinct()
-        total = keep.write(given.select(*FACT, F.lit("given").alias("rule"), F.lit(1).cast("bigint").alias("span"), F.array().cast("array<string>").alias("premises"), F.lit(0).alias("iteration")))
-        new = total
+        no_via = [F.lit(None).cast("string").alias(x) for x in VIA]
+        total = new = keep.write(given.select(*FACT, F.lit("given").alias("rule"), F.lit(1).cast("bigint").alias("span"), *no_via, F.lit(0).alias("iteration")))
+        written, known = [total._written_to], self.seen(total)
+        last = known
         for k in range(1, most_rounds + 1):
-            derived = self.single(new) + self.double(new, total)
+            stepped = {p for p in self.given_only if p in known.predicates} - known.tagged
+            derived = self.single(new, last, known.tagged) + self.double(new, total, last, known, stepped)
             if k > 1:
-                derived += self.double(total, new)
-            if not derived:
+                derived += self.double(total, new, known, last, stepped)
+            got = self.fresh(derived, total, known)
+            if on := {p for p in stepped if p in last.predicates}:
+                got.append(self.paths(new, total, on, k))
+            if not got:
                 break
-            best = reduce(DataFrame.unionByName, [x.withColumn("span", F.col("span").cast("bigint")) for x in derived]).groupBy(*FACT).agg(F.min(F.struct("span", "rule", "premises")).alias("_d"))
-            fresh = best.join(total.select(*FACT), FACT, "left_anti").select(*FACT, "_d.rule", "_d.span", "_d.premises", F.lit(k).alias("iteration"))
-            found = keep.write(fresh)
+            found = keep.write(reduce(DataFrame.unionByName, got).select(*FACT, "rule", "span", *VIA, F.lit(k).alias("iteration")))
             if found.isEmpty():
                 break
-            grown = keep.write(total.unionByName(found))
-            keep.drop(total, *([new] if new is not total else []))
-            total, new = grown, found
+            last = self.seen(found)
+            known = known.with_(last)
+            written.append(found._written_to)
+            total, new = self.spark.read.schema(total.schema).parquet(*written), found
         else:
             raise RuntimeError("the rules did not come to an end")
-        return Result(total, self.conflicts(total), self.schema, k - 1)
+        return Result(total.select(*FACT, "rule", "span", premises().alias("premises"), "iteration"), self.conflicts(total), self.schema, k - 1)
+
+
+def _row(s: Column, p: Column, o: Column, rule: str, span: Column, via: list[Column], dt: Column | None = None, lang: Column | None = None) -> list[Column]:
+    via = [*via, *[F.lit(None)] * (len(VIA) - len(via))]
+    return [
+        s.alias("s"), p.alias("p"), o.alias("o"), (F.lit(m.IRI) if dt is None else dt).alias("o_dt"), (F.lit("") if lang is None else lang).alias("o_lang"),
+        F.lit(rule).alias("rule"), span.cast("bigint").alias("span"), *[v.cast("string").alias(n) for v, n in zip(via, VIA)],
+    ]
+
+
+def _each_once(rows: list[tuple]) -> bool:
+    """Whether no two rows give the same."""
+    return len({q for _, q in rows}) == len(rows)
 
 
 def reason(store: QuadStore, options: Options = Options(), predicates: set[str] | None = None) -> Result:

@@ -4,8 +4,9 @@ import random
 
 import pytest
 
+from quadloom import catalog
 from quadloom import model as m
-from quadloom.operators import closure
+from quadloom.operators import closure, reason
 from quadloom.operators.reason import Reasoner, Schema
 
 O, R, T = m.OWL, m.RDFS, m.TYPE
@@ -74,3 +75,27 @@ def test_closures(spark):
     assert {int(r.x): int(r.root) for r in closure.groups(df).collect()} == root
     none = df.limit(0)
     assert closure.closure(none).count() == closure.reachable(none, start).count() == closure.groups(none).count() == 0
+
+
+def chain(n):
+    return [(f"x{i:02d}", "p", f"x{i + 1:02d}") for i in range(n)]
+
+
+def written(monkeypatch, go):
+    """What ``go`` gives, and the physical plans of the tables that it wrote."""
+    plans, write = [], reason.Rounds.write
+
+    def watch(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df)
+
+    monkeypatch.setattr(reason.Rounds, "write", watch)
+    return go(), plans
+
+
+def test_only_rules_that_can_fire_are_planned(spark, small, monkeypatch):
+    r, plans = written(monkeypatch, lambda: catalog._reasoned(spark, small, [T]))
+    assert r.inferred().count() and sum(p.count("BroadcastHashJoin") for p in plans) <= 1
+    # no fact is broadcast, however small
+    _, plans = written(monkeypatch, lambda: catalog._reasoned(spark, small, ["hasSupplier", "placedBy"]))
+    assert not any("BroadcastHashJoin [s#" in p or "BroadcastHashJoin [coalesce(s#" in p for p in plans)
