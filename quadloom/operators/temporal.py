@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.functions import times
-from quadloom.functions.values import local_name, statement_text
+from quadloom.functions.values import NUL, local_name, write_object
 
 
 def entries(quads: DataFrame, predicates: list[str] | None = None) -> DataFrame:
     """(row, family, qualifier, statement): two rows of an interval (``begin/end`` and ``end/begin``), four of an instant."""
     df = quads.where(F.col("p").isin(predicates)) if predicates else quads
-    df = df.select("s", "p", F.coalesce("g", F.lit("")).alias("family"), statement_text().alias("statement"), times.interval(F.col("o")).alias("i"), times.rfc_key(F.col("o")).alias("t"))
+    # statements are made distinct before their entries, which are several times as many and as wide; the shuffle goes
+    # first, as its partitions bound what a task holds, where small rows that were joined before it don't
+    df = df.where(F.col("o").rlike(r"^[\[0-9]")).select("s", "p", "o", F.coalesce("g", F.lit("")).alias("family"), write_object(F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("_object"))
+    df = df.repartition("s", "_object").distinct()
+    df = df.select("s", "p", "family", F.concat_ws(NUL, "family", "s", "p", "_object").alias("statement"), times.interval(F.col("o")).alias("i"), times.rfc_key(F.col("o")).alias("t"))
     entry = lambda row, kind: F.struct(row.alias("row"), F.lit(kind).alias("qualifier"))
     t, bar = F.col("t"), F.lit("|")
     both = F.array(entry(F.concat_ws("/", "i.begin", "i.end"), "begin"), entry(F.concat_ws("/", "i.end", "i.begin"), "end"))
@@ -20,7 +24,7 @@ def entries(quads: DataFrame, predicates: list[str] | None = None) -> DataFrame:
         entry(F.concat(F.lit("o|"), t), "instant"), entry(F.concat(F.lit("s|"), F.col("s"), bar, t), "instant"), entry(F.concat(F.lit("p|"), F.col("p"), bar, t), "instant"), entry(F.concat(F.lit("sp|"), F.col("s"), bar, F.col("p"), bar, t), "instant")
     )
     rows = F.when(F.col("i").isNotNull(), both).when(t.isNotNull(), four)
-    return df.select(F.explode(rows).alias("e"), "family", "statement").select(F.concat_ws("|", "e.row", "statement").alias("row"), "family", "e.qualifier", "statement").distinct()
+    return df.select(F.explode(rows).alias("e"), "family", "statement").select(F.concat_ws("|", "e.row", "statement").alias("row"), "family", "e.qualifier", "statement")
 
 
 def _key(text: str) -> str:

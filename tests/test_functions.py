@@ -203,3 +203,11 @@ def test_mutations(spark):
     out = merge.merge(q, q.limit(0), 6).report()
     assert {r.action: r.n for r in out.collect()} == {"kept": 1, "deleted": 1}
     assert merge.fan_out(q, ["u:g"]).count() == 3 and merge.fan_out(q, []).count() == 3
+
+
+def test_entries_are_distinct_before_they_are_made(spark):
+    rows = [("x", "u:when", "[2020-01-01T00:00:00Z,2020-02-01T00:00:00Z]", lang) for lang in ("", None)] + [("y", "u:when", "2020-01-01T00:00:00Z", ""), ("z", "u:when", "no time", "")]
+    df = temporal.entries(m.conform(spark.createDataFrame(rows * 2, "s string, p string, o string, o_lang string")))
+    assert df.count() == 6
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("HashAggregate") < plan.index("REPARTITION_BY_COL") and plan.count("Exchange") == 1
