@@ -7,6 +7,7 @@ anything that contains x. A query with exclusions only starts from all documents
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -66,12 +67,22 @@ def word_matches(term: Column, word: str) -> Column:
     return term == word
 
 
+def text_matches(text: Column, word: str) -> Column:
+    """Whether any term of a text matches a word: found in the text itself, up to the first match, without cutting it into terms."""
+    anywhere = word.startswith("*") and word.endswith("*") and len(word) > 1
+    core = word.strip("*") if anywhere else word[:-1] if word.endswith("*") else word.removeprefix("*")
+    if not re.fullmatch("[a-z0-9*_]*", core):
+        return F.when(text.isNotNull(), F.lit(False))  # no term has such a character
+    begins, ends = not anywhere and (word.endswith("*") or not word.startswith("*")), not anywhere and not word.endswith("*")
+    pattern = ("(?<![a-z0-9*_])" if begins else "") + core.replace("*", r"\*") + ("(?![a-z0-9*_])" if ends else "")
+    return text.rlike("(?i)" + (pattern if core else "[a-z0-9*_]"))
+
+
 def search(quads: DataFrame, query: str, predicates: list[str] | None = None, subject: str | None = None, graph: str | None = None, auths=None) -> DataFrame:
     """Statements that match, straight from their text: one scan without a shuffle, as each statement holds all its terms."""
     need, out = parse(query)
     df = indexable(quads, predicates)
-    have = tokens(F.col("o"))
-    has = lambda w: F.exists(have, lambda t: word_matches(t, w))
+    has = lambda w: text_matches(F.col("o"), w)
     cond = [has(w) for w in need] + [~has(w) for w in out]
     if cond:
         df = df.where(reduce(lambda a, b: a & b, cond))

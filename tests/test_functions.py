@@ -205,6 +205,19 @@ def test_mutations(spark):
     assert merge.fan_out(q, ["u:g"]).count() == 3 and merge.fan_out(q, []).count() == 3
 
 
+def test_search_without_terms(spark, monkeypatch):
+    texts = ["The anger", "man ber-", "a*b an ER", "over_an Er_", "", "İan ßer", "é", "B2B the_ *x", "THE"]
+    df = m.conform(spark.createDataFrame([(str(i), "p", x) for i, x in enumerate(texts)], "s string, p string, o string"))
+    words = ["the", "*an*", "*er", "an*", "*", "**", "a*b", "a*b*", "*b", "***", "*x", "é", "*é*", "b2*"]
+    have = df.select("s", text.tokens(F.col("o")).alias("t"))
+    by_term = lambda w: F.exists("t", lambda t: text.word_matches(t, w))
+    want = have.select("s", *[by_term(w).alias(f"w{i}") for i, w in enumerate(words)]).collect()
+    monkeypatch.setattr(text, "tokens", None)  # a search doesn't cut texts
+    got = {r.s: r for r in df.select("s", *[text.text_matches(F.col("o"), w).alias(f"w{i}") for i, w in enumerate(words)]).collect()}
+    assert [got[r.s] for r in want] == want
+    assert {r.s for r in text.search(df, "*an* *er").collect()} == {"0", "1", "2", "5"}
+
+
 def test_entries_are_distinct_before_they_are_made(spark):
     rows = [("x", "u:when", "[2020-01-01T00:00:00Z,2020-02-01T00:00:00Z]", lang) for lang in ("", None)] + [("y", "u:when", "2020-01-01T00:00:00Z", ""), ("z", "u:when", "no time", "")]
     df = temporal.entries(m.conform(spark.createDataFrame(rows * 2, "s string, p string, o string, o_lang string")))
