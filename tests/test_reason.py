@@ -99,3 +99,11 @@ def test_only_rules_that_can_fire_are_planned(spark, small, monkeypatch):
     # no fact is broadcast, however small
     _, plans = written(monkeypatch, lambda: catalog._reasoned(spark, small, ["hasSupplier", "placedBy"]))
     assert not any("BroadcastHashJoin [s#" in p or "BroadcastHashJoin [coalesce(s#" in p for p in plans)
+
+
+def test_paths_are_put_together_once(spark):
+    got = run(spark, [("p", T, O + "TransitiveProperty")], chain(20)).facts.where("iteration > 0").select("s", "o", "span", "iteration", "premises").collect()
+    at = lambda x: int(x[1:])
+    assert len(got) == 21 * 20 // 2 - 20 and all(r.span == at(r.o) - at(r.s) for r in got)
+    for r in got:  # the first premise has 2^k edges, wherever else the path could be cut
+        assert r.premises[0] == f"{r.s} p x{at(r.s) + 2 ** (r.iteration - 1):02d}"
