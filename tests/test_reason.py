@@ -107,3 +107,10 @@ def test_paths_are_put_together_once(spark):
     assert len(got) == 21 * 20 // 2 - 20 and all(r.span == at(r.o) - at(r.s) for r in got)
     for r in got:  # the first premise has 2^k edges, wherever else the path could be cut
         assert r.premises[0] == f"{r.s} p x{at(r.s) + 2 ** (r.iteration - 1):02d}"
+
+
+def test_facts_are_written_once(spark, small, monkeypatch):
+    for names, most in ((["placedBy"], 2), (["hasSupplier", "placedBy"], 4)):
+        r, plans = written(monkeypatch, lambda: catalog._reasoned(spark, small, names))
+        assert len(plans) <= most and r.inferred().count()
+        monkeypatch.undo()
